@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("bpe", "token_counts", "packing")
+MODULES = ("simhash", "bpe", "token_counts", "packing", "substring")
 
 
 def queries() -> dict:
