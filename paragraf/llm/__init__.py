@@ -8,8 +8,10 @@ MODULES = ("simhash", "bpe", "fingerprints", "token_counts", "packing", "url_fil
 
 
 def queries() -> dict:
-    """name -> callable(spark, sf_dir) of every operator here."""
-    found = {}
+    """name -> callable(spark, sf_dir) of every operator here, and of the pipeline."""
+    import corpus_pipeline
+
+    found = {"pipeline": corpus_pipeline.run}
     for name in MODULES:
         found |= import_module(f"{__name__}.{name}").QUERIES
     return found
@@ -17,7 +19,9 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     """name -> DuckDB SQL where SQL can express the operator."""
-    found = {}
+    import corpus_pipeline
+
+    found = {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
     for name in MODULES:
         found |= import_module(f"{__name__}.{name}").SQL
     return found
