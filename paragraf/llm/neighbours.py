@@ -34,7 +34,7 @@ from . import common
 K, QUERY_EVERY = 10, 100
 TABLES, SAMPLE, SAMPLE_QUERIES, BLOCK, TARGET, MAX_PROBES = 6, 4096, 64, 2048, 0.97, 4096
 #: Vectors that a bucket holds on average, and the width of cells in standard deviations of projections.
-OCCUPANCY, WIDTH = 64, 1.6
+OCCUPANCY, WIDTH = 256, 1.6
 SEED = 7
 
 
@@ -65,7 +65,7 @@ class Tables:
             return h ^ (h >> 32)
 
     def fit_probes(self, sample: np.ndarray, k: int, target: float) -> None:
-        """The least number of probes, among powers of two, that reach `target` of the sample's neighbours."""
+        """The least number of probes, in steps of a half, that reach `target` of the sample's neighbours."""
         queries = sample[:SAMPLE_QUERIES]
         near = np.argsort(squared(queries, sample), axis=1, kind="stable")[:, 1 : k + 1]
         cells = np.floor(places := self.places(sample)).astype(np.int64)
@@ -78,7 +78,7 @@ class Tables:
                 hits[n // self.tables, n % self.tables] = [s in visited for s in steps]
             if hits.any(1).mean() >= target:
                 break
-            self.probes *= 2
+            self.probes += 1 + self.probes // 2
 
 
 def perturbations(rest: np.ndarray, most: int) -> Iterator[tuple[tuple[int, int], ...]]:
