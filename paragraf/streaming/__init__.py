@@ -1,0 +1 @@
+"""No streaming operators: the engine's operators are batch; sources may be read as streams with the same functions in foreachBatch."""
