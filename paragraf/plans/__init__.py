@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("retrieval", "graph")
+MODULES = ("retrieval", "graph", "evaluation", "citations", "corpus")
 
 
 def queries() -> dict:
