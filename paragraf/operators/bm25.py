@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import filled, is_blank, tokenize
+from ..sources import spread
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 #: Query terms are broadcast only if counting shows at most this many rows.
@@ -22,9 +23,8 @@ BROADCAST_ROWS = 1_000_000
 
 @dataclass
 class SparseIndex:
-    """documents: (doc_id, dl); postings: (doc_id, term, tf); terms: (term, df, raw_idf); three numbers."""
+    """postings: (doc_id, dl, term, tf), so that scoring needs no join for lengths; terms: (term, df, raw_idf); three numbers."""
 
-    documents: DataFrame
     postings: DataFrame
     terms: DataFrame
     count: int
@@ -38,29 +38,31 @@ class SparseIndex:
         return self.terms.select("term", F.when(F.col("raw_idf") < 0, F.lit(self.epsilon * self.mean_idf)).otherwise(F.col("raw_idf")).alias("idf"))
 
     def save(self, path: str) -> None:
-        for name in ("documents", "postings", "terms"):
-            getattr(self, name).write.mode("overwrite").parquet(f"{path}/{name}")
+        """Postings are written in order of terms, so that row groups without a query's terms are skipped."""
+        self.postings.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
+        self.terms.write.mode("overwrite").parquet(f"{path}/terms")
         numbers = [(self.count, self.average_length, self.mean_idf, self.k1, self.b, self.epsilon)]
         self.postings.sparkSession.createDataFrame(numbers, "count long, average_length double, mean_idf double, k1 double, b double, epsilon double").write.mode("overwrite").parquet(f"{path}/numbers")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> SparseIndex:
         numbers = spark.read.parquet(f"{path}/numbers").first()
-        return cls(*(spark.read.parquet(f"{path}/{n}") for n in ("documents", "postings", "terms")), **numbers.asDict())
+        return cls(*(spark.read.parquet(f"{path}/{n}") for n in ("postings", "terms")), **numbers.asDict())
 
 
 def build(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokens: Column | None = None, k1: float = K1, b: float = B, epsilon: float = EPSILON) -> SparseIndex:
-    """Index of a corpus; null texts have no tokens, but count. `tokens` replaces the tokenizer by a column."""
+    """Index of a corpus; null texts have no tokens, but count. `tokens` replaces the tokenizer by a column.
+
+    Texts are tokenized once: postings are kept for the statistics and the searches that follow.
+    """
     words = tokenize(text_col) if tokens is None else tokens
-    split = df_tokens = docs.select(F.col(id_col).alias("doc_id"), words.alias("tokens"))
-    documents = split.select("doc_id", F.size("tokens").alias("dl"))
-    postings = df_tokens.select("doc_id", F.explode("tokens").alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
-    postings = postings.cache()
-    size = documents.agg(F.count("*").alias("n"), F.avg("dl").alias("avg")).first()
-    raw = F.ln(F.lit(float(size.n)) - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5)
-    terms = postings.groupBy("term").agg(F.count("*").alias("df")).withColumn("raw_idf", raw)
-    mean = terms.agg(F.avg("raw_idf")).first()[0]
-    return SparseIndex(documents, postings, terms, size.n, float(size.avg or 0.0), float(mean or 0.0), k1, b, epsilon)
+    split = spread(docs).select(F.col(id_col).alias("doc_id"), words.alias("tokens"))
+    postings = split.select("doc_id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term")).groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf")).cache()
+    count = docs.count()
+    raw = F.ln(F.lit(float(count)) - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5)
+    terms = postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("n")).withColumn("raw_idf", raw)
+    sums = terms.agg(F.sum("n").alias("n"), F.avg("raw_idf").alias("mean")).first()
+    return SparseIndex(postings, terms.drop("n"), count, (sums.n or 0) / count if count else 0.0, float(sums.mean or 0.0), k1, b, epsilon)
 
 
 def get_or_build(spark: SparkSession, path: str, docs: DataFrame, force: bool = False, **options) -> SparseIndex:
@@ -81,7 +83,7 @@ def scores(queries: DataFrame, index: SparseIndex, id_col: str = "query_id", tex
     asked = asked.join(index.idf(), "term")
     if asked.count() <= BROADCAST_ROWS:
         asked = F.broadcast(asked)
-    met = index.postings.join(asked, "term").join(index.documents, "doc_id")
+    met = index.postings.join(asked, "term")
     part = F.col("idf") * F.col("tf") * (index.k1 + 1) / (F.col("tf") + F.lit(index.k1) * (F.lit(1 - index.b) + F.lit(index.b) * F.col("dl") / F.lit(index.average_length)))
     return met.groupBy("query_id", "doc_id").agg(F.sum(F.col("times") * part).alias("score"))
 

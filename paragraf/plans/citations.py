@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import abbreviations as A
 from ..functions import citations as C
 from ..functions import text as T
+from ..sources import spread
 from .retrieval import ints, table
 
 BOOKS = list(A.SEED)
@@ -33,7 +34,7 @@ def _texts(spark, sf_dir):
         ),
         F.expr("cast(o_orderkey % 8 + 1 as int)"),
     )
-    return table(spark, sf_dir, "orders").select("o_orderkey", text.alias("text"), form.alias("form"))
+    return spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")).select("o_orderkey", text.alias("text"), form.alias("form"))
 
 
 def _list(c: Column, name: str) -> Column:

@@ -8,6 +8,7 @@ from ..functions import text as T
 from ..operators import agent as A
 from ..operators import bm25, fusion
 from ..operators import corpus as K
+from ..sources import spread
 from .citations import _FLAT, BOOKS, _TEXTS
 from .citations import _texts as citing_texts
 from .retrieval import table
@@ -78,12 +79,12 @@ def q_training_text(spark, sf_dir):
 
 
 def q_block_offsets(spark, sf_dir):
-    sizes = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), (F.size(T.tokenize("text")) + 1).alias("n"))
+    sizes = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select(F.col("doc_id").alias("id"), (F.size(T.tokenize("text")) + 1).alias("n"))
     return K.block_offsets(sizes, "id", "n").select("id", "n", "start")
 
 
 def q_pack(spark, sf_dir):
-    made = K.token_blocks(table(spark, sf_dir, "documents").select("doc_id", T.tokenize("text").alias("tokens")), 512)
+    made = K.token_blocks(spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", T.tokenize("text").alias("tokens")), 512)
     return made.select("block", F.size("tokens").alias("n"), F.md5(F.array_join("tokens", " ")).alias("digest"))
 
 

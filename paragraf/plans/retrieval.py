@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import bm25, chunk, dense, fusion
+from ..sources import spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,7 +27,7 @@ def _queries(spark, sf_dir):
 
 
 def q_tokenize(spark, sf_dir):
-    words = table(spark, sf_dir, "documents").select(F.explode(T.tokenize("text")).alias("term"))
+    words = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select(F.explode(T.tokenize("text")).alias("term"))
     return words.groupBy("term").agg(F.count("*").alias("n"))
 
 
@@ -103,12 +104,12 @@ def q_tool_format(spark, sf_dir):
 
 
 def q_word_windows(spark, sf_dir):
-    parts = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(chunk.word_windows("text", 64, 8)).alias("i", "part"))
+    parts = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.posexplode(chunk.word_windows("text", 64, 8)).alias("i", "part"))
     return parts.select("doc_id", "i", F.md5("part").alias("digest"))
 
 
 def q_chunks(spark, sf_dir):
-    parts = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(chunk.chunks("text", 128, 16)).alias("chunk_index", "chunk"))
+    parts = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.posexplode(chunk.chunks("text", 128, 16)).alias("chunk_index", "chunk"))
     return parts.select("doc_id", "chunk_index", F.length("chunk").alias("n_chars"), F.md5("chunk").alias("digest"))
 
 

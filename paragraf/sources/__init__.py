@@ -88,3 +88,14 @@ def first_path(spark: SparkSession, *paths: str) -> str | None:
         if at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
             return path
     return None
+
+
+def spread(df: DataFrame, split_bytes: int = 4 << 20) -> DataFrame:
+    """Rows dealt to all cores where an input is too small, or its files hold too few row groups, to give every core a split.
+
+    Inputs of more than `split_bytes` a core are left as they are: their scans have splits enough, and
+    their rows stay where they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(cores) if size < cores * split_bytes else df
