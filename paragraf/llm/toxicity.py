@@ -184,7 +184,7 @@ def _candidates(sample: DataFrame) -> list[str]:
         for batch in batches:
             for text in common.python_strings(batch.column(0)):
                 tokens = [t for t in text_tokens(text) if t[0].isalnum()]
-                pairs = {(t, b) for a, b in zip(tokens, [*tokens[1:], ""], strict=True) for t in terms_of({a})}
+                pairs = {(t, b) for a, b in zip(tokens, [*tokens[1:], ""], strict=False) for t in terms_of({a})}
                 yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in pairs], pa.string()), pa.array([xxhash.xxh32_intdigest(b) for _, b in pairs], pa.int64())], ["term", "context"])
 
     found = sample.where("toxic = 1").select("text").mapInArrow(run, "term string, context long")
