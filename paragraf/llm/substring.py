@@ -237,4 +237,14 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op9_substring_dedup": op9_substring_dedup}
-SQL: dict[str, str] = {}
+SQL = {
+    "op9_substring_dedup": r"""
+WITH d AS (SELECT row_number() OVER (ORDER BY doc_id, text) AS n, doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+windows AS (SELECT n, i AS s, array_to_string(w[i:i + 19], ' ') AS t FROM (SELECT n, w, unnest(range(1, len(w) - 18)) AS i FROM d WHERE len(w) >= 20)),
+repeated AS (SELECT n, s AS i, 1 AS hit FROM (SELECT n, s, row_number() OVER (PARTITION BY t ORDER BY n, s) AS k FROM windows) WHERE k > 1),
+words AS (SELECT n, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM d),
+marked AS (SELECT n, i, word, coalesce(max(hit) OVER (PARTITION BY n ORDER BY i ROWS BETWEEN 19 PRECEDING AND CURRENT ROW), 0) AS gone FROM words LEFT JOIN repeated USING (n, i)),
+kept AS (SELECT n, sum(gone) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (WHERE gone = 0) AS t FROM marked GROUP BY n)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (n)
+"""
+}
