@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import citations as C
 from ..functions.text import as_column, filled, is_blank, strip
+from ..session import stable
 
 # Answers of preference pairs, labels of the metadata block.
 RELEVANT, NOT_RELEVANT = "Ja, diese Bestimmung ist einschlägig.", "Nein, diese Bestimmung ist nicht einschlägig."
@@ -81,7 +82,7 @@ def gold_sets(samples: DataFrame, abbreviations: list[str], courts: DataFrame |
 
 def number(df: DataFrame, order: list[str], name: str = "n") -> DataFrame:
     """Numbers from 1 in a total order, without bringing all rows to one task: counts of sorted ranges are added up."""
-    placed = df.orderBy(*order).withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id()).cache()
+    placed = stable(df.orderBy(*order).withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id()))
     sizes = sorted(placed.groupBy("_p").agg(F.count("*").alias("c"), F.min("_i").alias("at")).collect())  # one row a partition
     shift, total = [], 0
     for p, c, at in sizes:
@@ -155,7 +156,7 @@ def token_blocks(tokens: DataFrame, length: int, eos: str = "</s>", id_col: str
 
 def block_offsets(sizes: DataFrame, id_col: str, n_col: str) -> DataFrame:
     """(id, n, start): running totals in order of ids by sorted ranges, whose totals are added up on the driver, one number a range."""
-    placed = sizes.orderBy(id_col).withColumn("_p", F.spark_partition_id()).cache()
+    placed = stable(sizes.orderBy(id_col).withColumn("_p", F.spark_partition_id()))
     shift, total = [], 0
     for p, s in sorted(placed.groupBy("_p").agg(F.sum(n_col)).collect()):
         shift.append((p, total))

@@ -2,14 +2,26 @@
 
 from __future__ import annotations
 
+from functools import wraps
 from importlib import import_module
 
+from ..session import ready
+
 MODULES = ("retrieval", "graph", "evaluation", "citations", "corpus")
 
 
 def queries() -> dict:
     """name -> callable(spark, sf_dir)."""
-    return {k: f for m in MODULES for k, f in import_module(f"{__name__}.{m}").QUERIES.items()}
+
+    def prepared(query):
+        @wraps(query)
+        def run(spark, sf_dir):
+            ready(spark)
+            return query(spark, sf_dir)
+
+        return run
+
+    return {k: prepared(f) for m in MODULES for k, f in import_module(f"{__name__}.{m}").QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import os
+from pathlib import Path
+
+from pyspark.sql import DataFrame, SparkSession
+
+ROOT = str(Path(__file__).resolve().parents[1])
 
 DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
@@ -21,3 +26,20 @@ def session(name: str = "paragraf", master: str | None = None, **conf: str) -> S
     for key, value in (DEFAULTS | {k.replace("_", "."): v for k, v in conf.items()}).items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def ready(spark: SparkSession) -> None:
+    """Let Python workers import this package where the driver found it by its own path."""
+    known = spark.sparkContext.environment
+    if ROOT not in known.get("PYTHONPATH", "").split(os.pathsep):
+        known["PYTHONPATH"] = os.pathsep.join(x for x in (known.get("PYTHONPATH"), ROOT) if x)
+
+
+def stable(df: DataFrame) -> DataFrame:
+    """Rows that stay the same however often they are read, even if executors are lost: checkpointed where the cluster names a folder, else kept."""
+    spark = df.sparkSession
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if context.getCheckpointDir() is None and folder:
+        context.setCheckpointDir(folder)
+    return df.checkpoint() if context.getCheckpointDir() else df.cache()
