@@ -42,7 +42,7 @@ def library(path: str):
 
 def stable_boundary(text: str, low: int, high: int, left: list[tuple[int, int, int]], right: list[tuple[int, int, int]]) -> int | None:
     """The proven boundary in text[low:high] that is nearest to its middle; left and right: (start, end, id) of tokens."""
-    spaces = [k for k in range(low, high) if text[k].isspace()]
+    spaces = [k for k in range(low, high) if text[k].isspace() and not "\x1c" <= text[k] <= "\x1f"]  # what the vocabulary takes for white space
     if len(spaces) < 3:
         return None
     starts = [[x[0] for x in side] for side in (left, right)]

@@ -22,7 +22,7 @@ def test_spliced_counts(library):
 
 
 def test_texts_without_white_space_widen_to_the_whole(library):
-    for text in ("x" * 3000, "ab1" * 1000, "日本語" * 700, "lead " + "y" * 2500 + " tail"):
+    for text in ("x" * 3000, "\x1c!" * 900, "\x1c" * 2000, "a\x1f " * 700, "ab1" * 1000, "日本語" * 700, "lead " + "y" * 2500 + " tail"):
         assert token_counts.count_long(text, library, 64, 16) == len(library.encode(text, add_special_tokens=False))
 
 
