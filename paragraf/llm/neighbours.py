@@ -166,7 +166,8 @@ def search(df: DataFrame, queries: Column, id_col: str = "vec_id", vec_col: str
 
     shape = "bucket long, id long, raw binary"
     indexed = known.select("least", "vec").mapInArrow(index, shape)
-    sizes = indexed.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    # written, so that the joins shuffle both sides and Spark can split a bucket that holds a third of all vectors
+    sizes = common.checkpoint(indexed.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")))
     entries = indexed.join(sizes, "bucket").select("bucket", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"), F.lit(0).alias("kind"), "id", "raw")
     visits = asking.mapInArrow(probe, shape).join(sizes, "bucket").select("bucket", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("kind"), "id", "raw")
 
