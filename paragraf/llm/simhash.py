@@ -91,7 +91,9 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     distinct = prints.groupBy("fp").agg(F.min("id").alias("least"))
     roots = components(links(distinct.select("fp"), radius))
     rooted = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    # written, so that the join below shuffles both sides and Spark can split a large component
+    rooted = common.checkpoint(rooted)
+    smallest = common.checkpoint(rooted.groupBy("root").agg(F.min("least").alias("component_id")))
     classes = rooted.select("fp", "root").join(smallest, "root").select("fp", "component_id")
     return prints.join(classes, "fp").select("id", "fp", "component_id")
 
