@@ -151,3 +151,15 @@ def test_entry_without_this_subpackage(tmp_path):
     shutil.copytree(root, tmp_path / "r", ignore=ignored)
     code = "import __spark_entry__ as e; q = e.queries(); assert 'q_bm25_topk' in q and not any(k.startswith('op') for k in q) and set(e.oracle_sql()) <= set(q)"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path / "r", check=True, env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"})
+
+
+def test_near_copies_behind_an_unlike_text(spark):
+    rnd = random.Random(5)
+    shared, rows = words(rnd, 400), []
+    for k in range(60):  # unlike texts of one boilerplate, which differ in few bits; copies of each come last
+        rows.append((k, shared + " " + words(rnd, 160)))
+    for k in range(60):
+        rows.append((1000 + k, rows[k][1] + " " + words(rnd, 60)))
+    assert jaccard(rows[0][1], rows[1][1]) < 0.8 <= min(jaccard(rows[k][1], rows[60 + k][1]) for k in range(60))
+    got = {r.id: r.group_id for r in near_copies.groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {k: k % 1000 for k, _ in rows}
