@@ -11,6 +11,9 @@ sample's true neighbours would be visited; every vector is indexed. Buckets of m
 vectors are split into blocks, each of which every probe of the bucket visits: no cap, and no bucket
 is gathered as one.
 
+A query with fewer than k hits, or whose k-th is further off than that of every query of the sample, is
+unlike what the probes were fitted on, and is compared with all vectors, in blocks.
+
 Equal vectors are one entry that keeps its k + 1 smallest ids: more can't be among anyone's k nearest,
 so a vector that a third of all rows share costs as one, with the same results.
 
@@ -52,6 +55,7 @@ class Tables:
         self.b = rng.random(tables * self.functions) * self.width - p.mean(0)
         self.mix = rng.integers(1, 1 << 62, (tables, self.functions)) * 2 + 1
         self.probes = 1
+        self.far = np.inf
 
     def places(self, x: np.ndarray) -> np.ndarray:
         """Projections in cells, (rows, tables, functions)."""
@@ -68,6 +72,8 @@ class Tables:
         """The least number of probes, in steps of a half, that reach `target` of the sample's neighbours."""
         queries = sample[:SAMPLE_QUERIES]
         near = np.argsort(squared(queries, sample), axis=1, kind="stable")[:, 1 : k + 1]
+        if near.size:  # the k-th neighbour of a query like these is no further among all vectors than in the sample
+            self.far = float(np.sqrt(((queries - sample[near[:, -1]]) ** 2).sum(1)).max()) * (1 + 1e-9)
         cells = np.floor(places := self.places(sample)).astype(np.int64)
         wanted = [(places[q, t] - cells[q, t], [tuple((j, int(s)) for j, s in enumerate(row) if s) for row in cells[near[q], t] - cells[q, t]]) for q in range(len(queries)) for t in range(self.tables)]
         self.probes = 1
@@ -237,10 +243,30 @@ def search(df: DataFrame, queries: Column, id_col: str = "vec_id", vec_col: str
         q, x, d = best[0]
         return pa.RecordBatch.from_arrays([pa.array(q), pa.array(x), pa.array(d)], ["q", "x", "d"])
 
-    met = entries.unionByName(visits).repartition(common.partitions(spark), "bucket", "block").sortWithinPartitions("bucket", "block", "kind", "id")
-    pairs = met.mapInArrow(rank, "q long, x long, d double").distinct()
-    nearest = Window.partitionBy("q").orderBy("d", "x")
-    pairs = pairs.withColumn("r", F.row_number().over(nearest)).where(F.col("r") <= k + 1).select("q", "x", "d")
+    def met(entries: DataFrame, visits: DataFrame) -> DataFrame:
+        both = entries.unionByName(visits).repartition(common.partitions(spark), "bucket", "block").sortWithinPartitions("bucket", "block", "kind", "id")
+        pairs = both.mapInArrow(rank, "q long, x long, d double").distinct()
+        nearest = Window.partitionBy("q").orderBy("d", "x")
+        return pairs.withColumn("r", F.row_number().over(nearest)).where(F.col("r") <= k + 1).select("q", "x", "d")
+
+    pairs = common.checkpoint(met(entries, visits))
+    # queries with too few hits, or whose k-th is further off than any of the sample's, meet every vector
+    hits = pairs.join(known.select(F.col("least").alias("x"), F.least(F.size("ids"), F.lit(k + 1)).alias("n")), "x")
+    within = hits.where(F.col("d") <= hashes.far).groupBy("q").agg(F.sum("n").alias("n")).where(F.col("n") > k)
+    short = common.checkpoint(asking.join(within, F.col("least") == F.col("q"), "left_anti").select("least", "vec"))
+    if not short.isEmpty():
+        blocks = -(-count // BLOCK)
+
+        def plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for at in range(0, batch.num_rows, 2048):
+                    part = batch.slice(at, 2048)
+                    raw = pa.array([r.tobytes() for r in np.ascontiguousarray(matrix(part.column(1)), "<f4")], pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array(np.zeros(part.num_rows, np.int64)), part.column(0), raw], ["bucket", "id", "raw"])
+
+        every = known.select("least", "vec").mapInArrow(plain, shape).select("bucket", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"), F.lit(0).alias("kind"), "id", "raw")
+        again = short.mapInArrow(plain, shape).select("bucket", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(1).alias("kind"), "id", "raw")
+        pairs = pairs.join(short, F.col("q") == F.col("least"), "left_anti").unionByName(met(every, again))
     # from classes back to ids: every query of a class, every kept id of a neighbour's class, but the query itself
     members = asked.join(known.select("vec", F.col("least").alias("q")), "vec").select("q", F.col("id").alias("query_id"))
     found = pairs.join(known.select(F.col("least").alias("x"), "ids"), "x").select("q", "d", F.explode("ids").alias("vec_id"))

@@ -82,3 +82,13 @@ def test_perturbations_come_in_order():
     every = list(neighbours.perturbations(rest, 1000))
     assert len(every) == len(set(every)) == 27 and every[0] == ()
     assert [score(s) for s in every] == pytest.approx(sorted(score(s) for s in every))
+
+
+def test_isolated_queries_get_all_their_neighbours(spark):
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((6000, 32))
+    x[:40] *= 6
+    ids = list(range(6000))
+    got = collected(neighbours.search(frame(spark, ids, x), F.col("id") < 40))
+    expected = exact(ids, x, range(40), 10)
+    assert {q: [i for _, i in got.get(q, [])] for q in expected} == {q: [i for _, i in rows] for q, rows in expected.items()}
