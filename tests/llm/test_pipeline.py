@@ -163,3 +163,13 @@ def test_near_copies_behind_an_unlike_text(spark):
     assert jaccard(rows[0][1], rows[1][1]) < 0.8 <= min(jaccard(rows[k][1], rows[60 + k][1]) for k in range(60))
     got = {r.id: r.group_id for r in near_copies.groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {k: k % 1000 for k, _ in rows}
+
+
+def test_near_copies_with_a_repeated_line(spark):
+    rnd, rows = random.Random(6), []
+    for k in range(20):
+        text, line = words(rnd, 300), words(rnd, 10)
+        rows += [(k, text), (100 + k, text + (" " + line) * 40)]
+    assert min(jaccard(rows[2 * k][1], rows[2 * k + 1][1]) for k in range(20)) >= 0.8
+    got = {r.id: r.group_id for r in near_copies.groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {k: k % 100 for k, _ in rows}
