@@ -173,3 +173,12 @@ def test_near_copies_with_a_repeated_line(spark):
     assert min(jaccard(rows[2 * k][1], rows[2 * k + 1][1]) for k in range(20)) >= 0.8
     got = {r.id: r.group_id for r in near_copies.groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {k: k % 100 for k, _ in rows}
+
+
+def test_near_copies_of_every_version(spark):
+    rnd, rows = random.Random(7), []
+    for k in range(10):
+        first, second = words(rnd, 200), words(rnd, 200)
+        rows += [(k, first), (k, second), (100 + k, first + " x"), (200 + k, second + " y")]
+    got = {r.id: r.group_id for r in near_copies.groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {k: k % 100 for k, _ in rows}
