@@ -52,6 +52,14 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that the frame doesn't have, whatever the case of letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def python_strings(column) -> list[str]:
     """Texts of an Arrow column, null as empty."""
     return [x or "" for x in column.to_pylist()]
