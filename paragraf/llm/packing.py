@@ -7,7 +7,9 @@ in blocks of about as many pieces as bins may be open, longest first within a bl
 
 Nulls count as empty texts, which still have their end token and are packed. Repeated rows are packed
 each; null ids stay null; an empty table gives an empty result; other columns are neither read nor
-returned. A text of any length is cut into full pieces, its first one may be shorter.
+returned. A text of any length is cut into full pieces, its first one may be shorter. Texts with
+long runs without a break (RUN characters of one kind, as white space or one long word) are encoded by the
+tokenizers library, since the faster one runs out of stack or time on them.
 """
 
 from __future__ import annotations
@@ -29,6 +31,8 @@ LENGTH, END_TOKEN, OPEN_BINS = 1024, 2, 4096
 #: Documents that share one packing task; its memory is that of the open bins.
 DOCUMENTS_PER_TASK = 50_000
 SPECIAL = "<|endoftext|>"
+#: Characters without a change between white space and others that the fast library is not given.
+RUN = 20_000
 
 
 class BestFit:
@@ -97,9 +101,10 @@ def fast_encoder(path: str):
             ranks[bytes(alphabet[c] for c in token)] = k
     fast = tiktoken.Encoding("paragraf", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
     wide = re.compile(f"[^\\x00-{chr(PLAIN_BELOW - 1)}]")
+    run = re.compile(rf"\s{{{RUN}}}|\S{{{RUN}}}")
 
     def encode(text: str) -> list[int]:
-        if wide.search(text):
+        if wide.search(text) or len(text) >= RUN and run.search(text):
             return slow.encode(text, add_special_tokens=False).ids
         return fast.encode(text, allowed_special="all")
 

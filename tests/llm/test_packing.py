@@ -81,5 +81,7 @@ def test_query(spark, sf_dir):
 def test_edges(spark, docs):
     texts = {1: None, 2: "", 3: "word " * 20_000, 4: "x" * 50_000, 5: "<|endoftext|> a"}
     check(packing.pack(docs(list(texts.items())), length=16, open_bins=2).collect(), texts, 16)
+    long = {k: c * 2_000_000 for k, c in enumerate(" \na")} | {3: "a " + " \t" * 1_000_000}
+    check(packing.pack(docs(list(long.items()))).collect(), long, 1024)
     assert len(packing.pack(docs([(1, "a"), (1, "a"), (None, "b")])).collect()) == 3
     assert packing.pack(docs([(1, "a")]).limit(0)).count() == 0
