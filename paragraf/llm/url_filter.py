@@ -5,8 +5,11 @@ starts with the rule's; the longest fitting rule wins (by characters of host and
 those of the host); if no rule fits, the verdict is `allow`. Equal rules with different verdicts block.
 
 Every rule's canonical string (host and path) sets four bits in one 64-bit block of a Bloom filter. A
-url's candidates are the suffixes of its host at dots, each with the starts of its path whose lengths
-some rule has. Candidates that the filter passes, usually none or one, go on to a hash join with the
+url's candidates are the last labels of its host, as many as some rule has, each with the start of its
+path of that rule's length: as many as there are different pairs of the two numbers among the rules, and
+in time that grows with the url's length only. The filter has a block for four rules, however many there
+are: up to `constant_blocks` it is a constant of the plan, a larger one is a table that candidates are
+joined with by block (broadcast only if counted to have at most BROADCAST_BLOCKS rows). Candidates that the filter passes, usually none or one, go on to a hash join with the
 rules, which removes false positives; all other urls never meet a join or a shuffle. The rules are
 broadcast only if counting them shows that there are at most `broadcast_rules`, else both sides are
 shuffled by candidate, and Spark splits skewed ones.
@@ -23,9 +26,9 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Bits of the filter for a rule; and its largest size, which bounds what the driver holds and the plan carries.
-BITS_PER_RULE, MAX_BLOCKS = 16, 1 << 17
-BROADCAST_RULES = 100_000
+#: Bits of the filter for a rule; and the most blocks that the driver holds and the plan carries as a constant.
+BITS_PER_RULE, CONSTANT_BLOCKS = 16, 1 << 14
+BROADCAST_RULES, BROADCAST_BLOCKS = 100_000, 1 << 22
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 ADDRESS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
@@ -53,40 +56,53 @@ def _mask(key: Column) -> Column:
     return mask
 
 
-def bloom(rules: DataFrame, n_rules: int, max_blocks: int = MAX_BLOCKS) -> tuple[Column, int]:
-    """The filter's blocks as a constant array, and their number: one for four rules, at most `max_blocks`."""
-    blocks = max(1, min(max_blocks, -(-n_rules * BITS_PER_RULE // 64)))
-    words = dict(rules.groupBy(_block(F.col("rule"), blocks).alias("b")).agg(F.bit_or(_mask(F.col("rule"))).alias("w")).collect())
-    text = ",".join(str(words.get(k, 0)) for k in range(blocks))
-    return F.split(F.lit(text), ",").cast("array<bigint>"), blocks
+def filter_blocks(n_rules: int) -> int:
+    return max(1, -(-n_rules * BITS_PER_RULE // 64))
 
 
-def judge(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col: str = "url", default: str = "allow", broadcast_rules: int = BROADCAST_RULES, max_blocks: int = MAX_BLOCKS) -> DataFrame:
+def bloom(rules: DataFrame, blocks: int) -> DataFrame:
+    """(block, word) of the filter's blocks that are not empty."""
+    return rules.groupBy(_block(F.col("rule"), blocks).alias("block")).agg(F.bit_or(_mask(F.col("rule"))).alias("word"))
+
+
+def numbers(values, default: str = "0") -> Column:
+    """A constant array of numbers, short in the plan."""
+    return F.split(F.lit(",".join(map(str, values)) or default), ",").cast("array<bigint>")
+
+
+def judge(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col: str = "url", default: str = "allow", broadcast_rules: int = BROADCAST_RULES, constant_blocks: int = CONSTANT_BLOCKS) -> DataFrame:
     """(id, host, path, rule, verdict) per page; rules: (host, path, verdict)."""
     known = rules.where("host is not null").select(F.translate("host", UPPER, LOWER).alias("rule_host"), F.coalesce("path", F.lit("")).alias("rule_path"), "verdict")
     known = known.groupBy(F.concat("rule_host", "rule_path").alias("rule"), "rule_host", "rule_path").agg(F.max(F.col("verdict") == "block").alias("blocks"))
-    counted = known.agg(F.count("*").alias("n"), F.sort_array(F.collect_set(F.length("rule_path"))).alias("lengths")).first()
-    words, blocks = bloom(known, counted.n, max_blocks)
-    lengths = F.split(F.lit(",".join(map(str, counted.lengths or [0]))), ",").cast("array<int>")
+    shape = F.struct(F.size(F.split("rule_host", "\\.")).alias("labels"), F.length("rule_path").alias("length"))
+    counted = known.agg(F.count("*").alias("n"), F.sort_array(F.collect_set(shape)).alias("shapes")).first()
+    blocks = filter_blocks(counted.n)
+    filled = bloom(known, blocks)
+    shapes = F.arrays_zip(numbers(x.labels for x in counted.shapes).alias("labels"), numbers(x.length for x in counted.shapes).alias("length"))
     url = F.col(url_col)
     base = pages.select(F.col(id_col).alias("id"), host_of(url).alias("host"), path_of(url).alias("path"))
-
-    def candidates(host: Column, path: Column) -> Column:
-        labels = F.split(host, "\\.")
-        count = F.size(labels)
-        starts = F.filter(lengths, lambda n: n <= F.length(path))
-        suffixes = F.transform(F.sequence(F.lit(1), count), lambda k: F.array_join(F.slice(labels, k, count - k + 1), "."))
-        return F.flatten(F.transform(suffixes, lambda s: F.transform(starts, lambda n: F.struct(s.alias("host"), F.substring(path, F.lit(1), n).alias("path")))))
-
-    def passed(c: Column) -> Column:
-        key = F.concat(c["host"], c["path"])
-        mask = _mask(key)
-        return F.get(words, _block(key, blocks)).bitwiseAND(mask) == mask
-
-    hits = base.withColumn("hits", F.filter(candidates(F.col("host"), F.col("path")), passed))
+    split = F.split("host", "\\.")
+    count = F.size(split)
+    fitting = F.filter(shapes, lambda x: (x["labels"] <= count) & (x["length"] <= F.length("path")))
+    tails = lambda n: F.array_join(F.slice(split, (count - n + 1).cast("int"), n.cast("int")), ".")
+    candidates = F.transform(fitting, lambda x: F.struct(tails(x["labels"]).alias("host"), F.substring(F.col("path"), F.lit(1), x["length"].cast("int")).alias("path")))
+    key = lambda c: F.concat(c["host"], c["path"])
+    # a row's number lives within one stage only: a lost task counts its rows again, and alike
+    if blocks <= constant_blocks:
+        held = {r.block: r.word for r in filled.collect()}
+        words = numbers(held.get(k, 0) for k in range(blocks))
+        passed = lambda c: F.get(words, _block(key(c), blocks)).bitwiseAND(_mask(key(c))) == _mask(key(c))
+        met = base.withColumn("hits", F.filter(candidates, passed))
+    else:
+        each = base.withColumn("hits", candidates).withColumn("row", F.monotonically_increasing_id())
+        tries = each.select("row", F.explode("hits").alias("c")).withColumn("block", _block(key(F.col("c")), blocks))
+        table = F.broadcast(filled) if filled.count() <= BROADCAST_BLOCKS else filled
+        good = tries.join(table, "block").where(F.col("word").bitwiseAND(_mask(key(F.col("c")))) == _mask(key(F.col("c"))))
+        good = good.groupBy("row").agg(F.collect_list("c").alias("good"))
+        met = each.join(good, "row", "left").select("id", "host", "path", F.coalesce("good", F.filter("hits", lambda _: F.lit(False))).alias("hits"))
     none, verdict = F.lit(None).cast("string"), F.lit(default)
-    plain = hits.where(F.size("hits") == 0).select("id", "host", "path", none.alias("rule"), verdict.alias("verdict"))
-    some = hits.withColumn("row", F.monotonically_increasing_id()).where(F.size("hits") > 0)
+    plain = met.where(F.size("hits") == 0).select("id", "host", "path", none.alias("rule"), verdict.alias("verdict"))
+    some = met.withColumn("row", F.monotonically_increasing_id()).where(F.size("hits") > 0)
     pairs = some.select("row", "id", "host", "path", F.explode("hits").alias("hit")).select("row", "id", "host", "path", F.col("hit.host").alias("rule_host"), F.col("hit.path").alias("rule_path"))
     exact = F.broadcast(known) if counted.n <= broadcast_rules else known
     found = pairs.join(exact, ["rule_host", "rule_path"], "left")

@@ -35,13 +35,22 @@ def test_many_rules_and_a_crowded_filter(spark):
     urls = [f"http://a.h{k % 60}.example/p{k}/x" for k in range(800)]
     pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
     frame = spark.createDataFrame(rules, "host string, path string, verdict string")
-    for blocks in (1, 3, 1 << 17):
-        got = {r.id: (r.host, r.path, r.rule, r.verdict) for r in url_filter.judge(pages, frame, max_blocks=blocks).collect()}
+    for blocks in (0, 1 << 17):  # the filter as a table, and as a constant
+        got = {r.id: (r.host, r.path, r.rule, r.verdict) for r in url_filter.judge(pages, frame, constant_blocks=blocks).collect()}
         expected = {k: verdict(u, known) for k, u in enumerate(urls)}
         expected = {k: (h, p, r, "block" if r == "h1.example/p1" else v) for k, (h, p, r, v) in expected.items()}
         assert got == expected
 
 
+def test_deep_rules_and_long_hosts(spark):
+    rules = [("com", "", "block"), (".".join(f"l{k}" for k in range(40)) + ".com", "/a", "allow"), ("b..c", "/", "block"), ("x." * 300 + "org", "/p", "block")]
+    urls = ["http://" + "a." * n + "com/x" for n in (1, 1000, 100_000)] + ["http://z." + rules[1][0] + "/ab", "http://" + rules[1][0] + "/b", "http://a.b..c/", "http://b.c/", "http://..c/", "http://" + "x." * 301 + "org/p", "http://" + "x." * 299 + "org/p", "http://com./x"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    for blocks in (0, 1 << 17):
+        got = {r.id: (r.host, r.path, r.rule, r.verdict) for r in url_filter.judge(pages, spark.createDataFrame(rules, "host string, path string, verdict string"), constant_blocks=blocks).collect()}
+        assert got == {k: verdict(u, rules) for k, u in enumerate(urls)}
+
+
 def test_edges(spark):
     rules = spark.createDataFrame(url_filter.RULES, "host string, path string, verdict string")
     twice = spark.createDataFrame([(1, "http://a.com/en/"), (1, "http://a.com/en/"), (None, "http://a.com/en/"), (None, None)], "page_id long, url string")
