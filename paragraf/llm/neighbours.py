@@ -7,18 +7,21 @@ first, from a heap). Candidates of all tables are merged and ranked by exact dis
 
 The number of functions follows the logarithm of the number of vectors; projections' centre and spread
 and the number of probes are fitted on a bounded sample of vectors (`SAMPLE`), so that `target` of the
-sample's true neighbours would be visited; every vector is indexed. Buckets of more than `BLOCK`
-vectors are split into blocks, each of which every probe of the bucket visits: no cap, and no bucket
-is gathered as one.
+sample's true neighbours would be visited (with fewer functions, if MAX_PROBES don't reach it); every
+vector is indexed. Buckets of more than `BLOCK` vectors are split into blocks, and visits of a bucket
+into shares of about `VISITS`; every share meets every block: no cap, and no bucket is gathered as one.
 
 A query with fewer than k hits, or whose k-th is further off than that of every query of the sample, is
-unlike what the probes were fitted on, and is compared with all vectors, in blocks.
+unlike what the probes were fitted on, and is compared with all vectors, in blocks; so are all queries
+if no number of probes reaches the target. Within a block all vectors that may be among the k + 1
+nearest, by a bound of the error of the fast distances, are ranked by exact ones, so that ties go to the
+smaller id however many there are.
 
 Equal vectors are one entry that keeps its k + 1 smallest ids: more can't be among anyone's k nearest,
 so a vector that a third of all rows share costs as one, with the same results.
 
 Vectors that are null, empty, all zero, of another length than most, or hold null or non-finite
-components take no part, nor do null ids. Repeated rows (same id, same vector) count once. If fewer
+components take no part, nor do null ids. Floats are compared as floats, other numbers as doubles. Repeated rows (same id, same vector) count once. If fewer
 candidates exist than k, all that are found come back. Empty tables give empty results; other columns
 are neither read nor returned.
 """
@@ -35,7 +38,7 @@ from pyspark.sql import functions as F
 from . import common
 
 K, QUERY_EVERY = 10, 100
-TABLES, SAMPLE, SAMPLE_QUERIES, BLOCK, TARGET, MAX_PROBES = 6, 4096, 64, 2048, 0.97, 4096
+TABLES, SAMPLE, SAMPLE_QUERIES, BLOCK, VISITS, TARGET, MAX_PROBES = 6, 4096, 64, 2048, 1024, 0.97, 4096
 #: Vectors that a bucket holds on average, and the width of cells in standard deviations of projections.
 OCCUPANCY, WIDTH = 256, 1.6
 SEED = 7
@@ -44,10 +47,9 @@ SEED = 7
 class Tables:
     """Hash functions; small enough to travel with tasks."""
 
-    def __init__(self, sample: np.ndarray, count: int, tables: int = TABLES, seed: int = SEED):
+    def __init__(self, sample: np.ndarray, functions: int, tables: int = TABLES, seed: int = SEED):
         rng, dim = np.random.default_rng(seed), sample.shape[1]
-        # a cell of width 1.6 deviations keeps about 1.4 bits of a Gaussian
-        self.functions = int(np.clip(round(np.log2(max(2.0, count / OCCUPANCY)) / 1.4), 1, 24))
+        self.functions = functions
         self.tables = tables
         self.a = rng.standard_normal((tables * self.functions, dim))
         p = sample @ self.a.T
@@ -68,23 +70,38 @@ class Tables:
             h = (h ^ (h >> 29)) * np.int64(0x3F58476D1CE4E5B9)
             return h ^ (h >> 32)
 
-    def fit_probes(self, sample: np.ndarray, k: int, target: float) -> None:
-        """The least number of probes, in steps of a half, that reach `target` of the sample's neighbours."""
+    def fit_probes(self, sample: np.ndarray, k: int, target: float) -> bool:
+        """The least number of probes, in steps of a half, that reach `target` of the sample's neighbours; whether they do."""
         queries = sample[:SAMPLE_QUERIES]
         near = np.argsort(squared(queries, sample), axis=1, kind="stable")[:, 1 : k + 1]
         if near.size:  # the k-th neighbour of a query like these is no further among all vectors than in the sample
             self.far = float(np.sqrt(((queries - sample[near[:, -1]]) ** 2).sum(1)).max()) * (1 + 1e-9)
         cells = np.floor(places := self.places(sample)).astype(np.int64)
         wanted = [(places[q, t] - cells[q, t], [tuple((j, int(s)) for j, s in enumerate(row) if s) for row in cells[near[q], t] - cells[q, t]]) for q in range(len(queries)) for t in range(self.tables)]
-        self.probes = 1
-        while near.size and self.probes < MAX_PROBES:
+        self.probes, reached = 1, not near.size
+        while not reached and self.probes < MAX_PROBES:
             hits = np.zeros((len(queries), self.tables, near.shape[1]), bool)
             for n, (rest, steps) in enumerate(wanted):
                 visited = set(perturbations(rest, self.probes))
                 hits[n // self.tables, n % self.tables] = [s in visited for s in steps]
-            if hits.any(1).mean() >= target:
-                break
-            self.probes += 1 + self.probes // 2
+            reached = hits.any(1).mean() >= target
+            if not reached:
+                self.probes += 1 + self.probes // 2
+        return reached
+
+
+def tables_for(sample: np.ndarray, count: int, k: int, target: float, tables: int = TABLES) -> Tables:
+    """Hash tables whose probes reach the target, with as many functions as they may; if none do, `far` sends all queries to the exact way."""
+    # a cell of width 1.6 deviations keeps about 1.4 bits of a Gaussian
+    functions = int(np.clip(round(np.log2(max(2.0, count / OCCUPANCY)) / 1.4), 1, 24))
+    while True:
+        made = Tables(sample, functions, tables)
+        if made.fit_probes(sample, k, target):
+            return made
+        if functions == 1:
+            made.far = -1.0
+            return made
+        functions = max(1, functions - 2)
 
 
 def perturbations(rest: np.ndarray, most: int) -> Iterator[tuple[tuple[int, int], ...]]:
@@ -108,15 +125,36 @@ def squared(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return (q * q).sum(1)[:, None] + (x * x).sum(1)[None] - 2 * q @ x.T
 
 
+def nearest(q: np.ndarray, x: np.ndarray, ids: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of q, id, exact distance) of the `most` nearest of x for each row of q, ties to smaller ids."""
+    near = squared(q, x)
+    rows, at = np.divmod(np.arange(near.size), len(x))
+    if most < len(x):
+        # a sum of n products errs by less than n + 2 units in the last place of the sum of their sizes, which is at most (|q| + |x|) ** 2
+        size = np.sqrt((q * q).sum(1)) + np.sqrt((x * x).sum(1).max())
+        error = 2 * (q.shape[1] + 4) * np.finfo(np.float64).eps * size * size
+        rows, at = np.nonzero(near <= (np.partition(near, most - 1, axis=1)[:, most - 1] + 2 * error)[:, None])
+    exact = np.concatenate([np.sqrt(((x[at[k : k + 65536]] - q[rows[k : k + 65536]]) ** 2).sum(1)) for k in range(0, len(rows), 65536)])
+    order = np.lexsort((ids[at], exact, rows))
+    rows, at, exact = rows[order], at[order], exact[order]
+    starts = np.searchsorted(rows, np.arange(len(q)))
+    keep = np.arange(len(rows)) - starts[rows] < most
+    return rows[keep], ids[at[keep]], exact[keep]
+
+
 def taking_part(vec: Column) -> Column:
     inf = F.lit(float("inf"))
     fine = F.forall(vec, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < inf))
     return vec.isNotNull() & (F.size(vec) > 0) & fine & F.exists(vec, lambda x: x != 0)
 
 
+def kind_of(df: DataFrame, vec_col: str) -> str:
+    return "array<float>" if df.select(vec_col).dtypes[0][1] == "array<float>" else "array<double>"
+
+
 def classes(df: DataFrame, id_col: str, vec_col: str, k: int) -> DataFrame:
     """(vec, ids, least): distinct vectors that take part with their k + 1 smallest ids."""
-    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<float>").alias("vec")).where(taking_part(F.col("vec")) & F.col("id").isNotNull())
+    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast(kind_of(df, vec_col)).alias("vec")).where(taking_part(F.col("vec")) & F.col("id").isNotNull())
     usual = rows.groupBy(F.size("vec").alias("n")).count().orderBy(F.desc("count"), "n").first()
     rows = rows.where(F.size("vec") == (usual.n if usual else 0))
     first = rows.distinct().withColumn("r", F.row_number().over(Window.partitionBy("vec").orderBy("id"))).where(F.col("r") <= k + 1)
@@ -130,12 +168,13 @@ def search(df: DataFrame, queries: Column, id_col: str = "vec_id", vec_col: str
     spark = df.sparkSession
     known = common.checkpoint(classes(df, id_col, vec_col, k))
     count = known.count()
-    asked = df.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<float>").alias("vec")).where(queries & F.col("id").isNotNull() & taking_part(F.col("vec"))).distinct()
+    kind = kind_of(df, vec_col)
+    raw_type = "<f4" if kind == "array<float>" else "<f8"
+    asked = df.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast(kind).alias("vec")).where(queries & F.col("id").isNotNull() & taking_part(F.col("vec"))).distinct()
     if not count:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     sample = np.array([r.vec for r in known.orderBy(F.xxhash64("least", F.lit(SEED)), "least").select("vec").limit(SAMPLE).collect()], np.float64)
-    hashes = Tables(sample, count, tables)
-    hashes.fit_probes(sample, k, target)
+    hashes = tables_for(sample, count, k, target, tables)
     asking = known.join(asked.select("vec").distinct(), "vec", "left_semi").select("least", "vec")
 
     def matrix(column) -> np.ndarray:
@@ -148,7 +187,7 @@ def search(df: DataFrame, queries: Column, id_col: str = "vec_id", vec_col: str
                 part = batch.slice(at, 2048)
                 x = matrix(part.column(1))
                 cells = np.floor(hashes.places(x.astype(np.float64))).astype(np.int64)
-                raw = pa.array([r.tobytes() for r in np.ascontiguousarray(x, "<f4")], pa.binary())
+                raw = pa.array([r.tobytes() for r in np.ascontiguousarray(x, raw_type)], pa.binary())
                 for t in range(hashes.tables):
                     yield pa.RecordBatch.from_arrays([pa.array(hashes.keys(cells[:, t], t)), part.column(0), raw], ["bucket", "id", "raw"])
 
@@ -160,7 +199,6 @@ def search(df: DataFrame, queries: Column, id_col: str = "vec_id", vec_col: str
                 places = hashes.places(x.astype(np.float64))
                 cells = np.floor(places).astype(np.int64)
                 for row, id_ in enumerate(part.column(0).to_pylist()):
-                    raw = np.ascontiguousarray(x[row], "<f4").tobytes()
                     for t in range(hashes.tables):
                         every = list(perturbations(places[row, t] - cells[row, t], hashes.probes))
                         steps = np.zeros((len(every), hashes.functions), np.int64)
@@ -168,14 +206,27 @@ def search(df: DataFrame, queries: Column, id_col: str = "vec_id", vec_col: str
                             for j, s in some:
                                 steps[n, j] = s
                         keys = np.unique(hashes.keys(cells[row, t] + steps, t))
-                        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.full(len(keys), id_)), pa.array([raw] * len(keys), pa.binary())], ["bucket", "id", "raw"])
+                        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.full(len(keys), id_))], ["bucket", "id"])
+
+    def plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2048):
+                part = batch.slice(at, 2048)
+                raw = pa.array([r.tobytes() for r in np.ascontiguousarray(matrix(part.column(1)), raw_type)], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column(0), raw], ["id", "raw"])
 
     shape = "bucket long, id long, raw binary"
     indexed = known.select("least", "vec").mapInArrow(index, shape)
     # written, so that the joins shuffle both sides and Spark can split a bucket that holds a third of all vectors
-    sizes = common.checkpoint(indexed.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")))
-    entries = indexed.join(sizes, "bucket").select("bucket", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"), F.lit(0).alias("kind"), "id", "raw")
-    visits = asking.mapInArrow(probe, shape).join(sizes, "bucket").select("bucket", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("kind"), "id", "raw")
+    sizes = indexed.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    probed = common.checkpoint(asking.mapInArrow(probe, "bucket long, id long"))
+    shares = probed.groupBy("bucket").agg(F.ceil(F.count("*") / VISITS).cast("int").alias("shares"))
+    sizes = common.checkpoint(sizes.join(shares, "bucket"))  # buckets that nobody visits need no entries
+    upto = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    dealt = lambda c: F.pmod(F.xxhash64("id", "bucket"), F.col(c)).cast("int")
+    entries = indexed.join(sizes, "bucket").select("bucket", dealt("blocks").alias("block"), upto("shares").alias("share"), F.lit(0).alias("kind"), "id", "raw")
+    visits = probed.join(sizes, "bucket").select("bucket", dealt("shares").alias("share"), upto("blocks").alias("block"), "id")
+    visits = visits.join(asking.mapInArrow(plain, "id long, raw binary"), "id").select("bucket", "block", "share", F.lit(1).alias("kind"), "id", "raw")
 
     def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Entries of a block come before its visits; the nearest of each query in this partition are kept."""
@@ -189,14 +240,11 @@ def search(df: DataFrame, queries: Column, id_col: str = "vec_id", vec_col: str
             nonlocal block, held
             if asked_ids and ids:
                 if block is None:
-                    block = np.frombuffer(b"".join(raws), "<f4").reshape(len(ids), -1).astype(np.float64)
-                q = np.frombuffer(b"".join(asked_raws), "<f4").reshape(len(asked_ids), -1).astype(np.float64)
-                most = min(len(ids), k + 9)
-                near = squared(q, block)
-                near = np.argpartition(near, most - 1, axis=1)[:, :most] if most < len(ids) else np.tile(np.arange(len(ids)), (len(q), 1))
-                exact = np.sqrt(((block[near] - q[:, None]) ** 2).sum(2))
-                best.append((np.repeat(np.array(asked_ids), most), np.array(ids)[near].ravel(), exact.ravel()))
-                held += near.size
+                    block = np.frombuffer(b"".join(raws), raw_type).reshape(len(ids), -1).astype(np.float64)
+                q = np.frombuffer(b"".join(asked_raws), raw_type).reshape(len(asked_ids), -1).astype(np.float64)
+                rows, found, exact = nearest(q, block, np.array(ids), k + 1)
+                best.append((np.array(asked_ids)[rows], found, exact))
+                held += len(rows)
             asked_ids.clear()
             asked_raws.clear()
 
@@ -215,10 +263,10 @@ def search(df: DataFrame, queries: Column, id_col: str = "vec_id", vec_col: str
             held = int(keep.sum())
 
         for batch in batches:
-            for bucket, part, kind, id_, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (bucket, part) != now:
+            for bucket, part, share, kind, id_, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (bucket, part, share) != now:
                     ranked()
-                    now, block = (bucket, part), None
+                    now, block = (bucket, part, share), None
                     ids, raws = [], []
                 if kind == 0:
                     ids.append(id_)
@@ -244,7 +292,8 @@ def search(df: DataFrame, queries: Column, id_col: str = "vec_id", vec_col: str
         return pa.RecordBatch.from_arrays([pa.array(q), pa.array(x), pa.array(d)], ["q", "x", "d"])
 
     def met(entries: DataFrame, visits: DataFrame) -> DataFrame:
-        both = entries.unionByName(visits).repartition(common.partitions(spark), "bucket", "block").sortWithinPartitions("bucket", "block", "kind", "id")
+        both = entries.unionByName(visits).select("bucket", "block", "share", "kind", "id", "raw")
+        both = both.repartition(common.partitions(spark), "bucket", "block", "share").sortWithinPartitions("bucket", "block", "share", "kind", "id")
         pairs = both.mapInArrow(rank, "q long, x long, d double").distinct()
         nearest = Window.partitionBy("q").orderBy("d", "x")
         return pairs.withColumn("r", F.row_number().over(nearest)).where(F.col("r") <= k + 1).select("q", "x", "d")
@@ -255,17 +304,11 @@ def search(df: DataFrame, queries: Column, id_col: str = "vec_id", vec_col: str
     within = hits.where(F.col("d") <= hashes.far).groupBy("q").agg(F.sum("n").alias("n")).where(F.col("n") > k)
     short = common.checkpoint(asking.join(within, F.col("least") == F.col("q"), "left_anti").select("least", "vec"))
     if not short.isEmpty():
-        blocks = -(-count // BLOCK)
-
-        def plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for at in range(0, batch.num_rows, 2048):
-                    part = batch.slice(at, 2048)
-                    raw = pa.array([r.tobytes() for r in np.ascontiguousarray(matrix(part.column(1)), "<f4")], pa.binary())
-                    yield pa.RecordBatch.from_arrays([pa.array(np.zeros(part.num_rows, np.int64)), part.column(0), raw], ["bucket", "id", "raw"])
-
-        every = known.select("least", "vec").mapInArrow(plain, shape).select("bucket", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"), F.lit(0).alias("kind"), "id", "raw")
-        again = short.mapInArrow(plain, shape).select("bucket", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(1).alias("kind"), "id", "raw")
+        blocks, shares = -(-count // BLOCK), -(-short.count() // VISITS)
+        one = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+        dealt = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+        every = known.select("least", "vec").mapInArrow(plain, "id long, raw binary").select(F.lit(0).cast("long").alias("bucket"), dealt(blocks).alias("block"), one(shares).alias("share"), F.lit(0).alias("kind"), "id", "raw")
+        again = short.mapInArrow(plain, "id long, raw binary").select(F.lit(0).cast("long").alias("bucket"), one(blocks).alias("block"), dealt(shares).alias("share"), F.lit(1).alias("kind"), "id", "raw")
         pairs = pairs.join(short, F.col("q") == F.col("least"), "left_anti").unionByName(met(every, again))
     # from classes back to ids: every query of a class, every kept id of a neighbour's class, but the query itself
     members = asked.join(known.select("vec", F.col("least").alias("q")), "vec").select("q", F.col("id").alias("query_id"))

@@ -55,8 +55,45 @@ def test_hot_vector_and_ties(spark):
     assert hits >= 0.9 * 10 * len(expected)
 
 
+def test_ties_of_a_block():
+    rng = np.random.default_rng(3)
+    x = np.vstack([np.eye(3000, 3000)[:2500], rng.standard_normal((200, 3000)) * 3])
+    ids, q = rng.permutation(10_000)[: len(x)], np.zeros((3, 3000))
+    q[1, 0], q[2] = 1, 5
+    rows, found, exact_ = neighbours.nearest(q, x, ids, 11)
+    for n in range(3):
+        d = np.sqrt(((x - q[n]) ** 2).sum(1))
+        assert list(zip(exact_[rows == n], found[rows == n], strict=True)) == sorted(zip(d, ids, strict=True))[:11]
+
+
+def test_many_equal_distances(spark):
+    # unit vectors of sixteen dimensions, each several times over in signs: all at one distance from the query
+    rng = np.random.default_rng(5)
+    x = [[0.25 * s for s in row] for row in rng.choice([-1.0, 1.0], (3000, 16))]
+    x[0] = [0.0] * 15 + [1e-3]
+    ids = list(range(3000))
+    got = collected(neighbours.search(frame(spark, ids, [[0.0] * 15 + [1e-3], *x[1:]]), F.col("id") == 0, target=1.0))
+    expected = exact(ids, x, [0], 10)
+    assert [s for s, _ in got[0]] == pytest.approx([s for s, _ in expected[0]]) and [i for _, i in got[0]] == [i for _, i in expected[0]]
+
+
+def test_doubles_are_ranked_as_doubles(spark):
+    rows = [(0, [1.0, 0.0]), (1, [1.0, 1e-12]), (2, [1.0, 2e-12]), (3, [0.0, 1.0])]
+    found = neighbours.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("id") == 0).collect()
+    assert [(r.vec_id, r.score) for r in sorted(found, key=lambda r: r.rank)] == [(1, 1e-12), (2, 2e-12), (3, pytest.approx(2**0.5))]
+
+
+def test_targets_that_probes_do_not_reach(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "MAX_PROBES", 2)
+    rng = np.random.default_rng(6)
+    x, ids = rng.standard_normal((3000, 16)), list(range(3000))
+    got = collected(neighbours.search(frame(spark, ids, x), F.col("id") < 20, target=2.0))
+    assert {q: [i for _, i in r] for q, r in got.items()} == {q: [i for _, i in r] for q, r in exact(ids, x, range(20), 10).items()}
+
+
 def test_split_blocks(spark, monkeypatch):
     monkeypatch.setattr(neighbours, "BLOCK", 16)
+    monkeypatch.setattr(neighbours, "VISITS", 4)
     rng = np.random.default_rng(2)
     x, ids = rng.standard_normal((400, 4)), list(range(400))
     got = collected(neighbours.search(frame(spark, ids, x), F.col("id") < 20, k=5, target=1.0))
