@@ -1,22 +1,32 @@
 """Toxicity (operator 10): a weighted finite-state grammar over clauses.
 
 Words become symbols: insult (with a weight), threat, target (second persons and groups of people),
-negation, reported speech, quotation mark, end of clause, other. Five small transducers read the
-symbols of a text together, each with its own state: reported speech lasts to the end of its clause or
-between quotation marks; negation lasts three words; a target within four words before or after an
-insult directs it; a threat needs a target within four words after it. What an insult puts out depends
-on their joint state: a plain, negated, reported or directed insult, by its weight; a threat puts out
-one. Each clause's outputs are capped and added up, the text's score is a logistic function of the sums.
+negation, reported speech, quotation mark, end of clause, other. Five transducers, each a table of
+transitions, rewrite the symbols one after another; they are composed into one machine, which is
+minimised and run over the text:
+
+1. reported speech: from a word of report to the end of its clause, and between quotation marks, insults
+   and targets become reported ones; quotation marks go;
+2. negation: for three words, insults and targets become negated ones, and threats are none;
+3. target: for four words after a target, insults become directed ones;
+4. threat: a target within four words after a threat becomes a threat fulfilled;
+5. insult: an insult that nothing marked is held for four words; a target among them directs it, else it
+   is a plain one. This machine writes what becomes of the held insult and of the one just read.
+
+So matched clauses, not words, are scored: an insult's weight goes to the output that its clause makes of
+it (plain, negated, reported, directed), a fulfilled threat counts one. A clause's outputs saturate at
+CLAUSE_CAP each and are added up, the text's score is a logistic function of the sums.
 
 The insult lexicon (whole words, and starts of words, which catch inflected forms in any language) and
 the factors of the outputs are learned from labels, on at most `SAMPLE` labelled documents, chosen by a
 hash of their ids: a term must stand before many different words in toxic documents (copies of one
-document don't count anew) and hardly ever in clean ones. The seed lists below carry prior weights for
-languages without labels. Ids, languages, sources and labels of scored rows play no part in a score.
+document don't count anew) and hardly ever in clean ones. All such terms are kept; what the driver
+gathers is bounded by the sample's words. The seed lists below carry prior weights for languages without
+labels. Ids, languages, sources and labels of scored rows play no part in a score.
 
 Null and empty texts get the score of a text without matches. Texts are read whole, of any length.
 Repeated rows come back each, null ids stay null, empty tables give empty results, and without labels
-the prior factors and seed lists are used. Columns other than those named are neither read nor returned.
+the prior factors and seed lists are used. A column named _score is replaced; others may have any name.
 """
 
 from __future__ import annotations
@@ -27,15 +37,18 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache, reduce
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common
+from .transducers import Machine, compose, machine, minimal
 
-#: Bounds of what is learned from and of what is learned: labelled documents, terms, terms that are candidates.
-SAMPLE, MAX_TERMS, MAX_CANDIDATES = 20_000, 5_000, 100_000
+#: The most labelled documents that are learned from.
+SAMPLE = 20_000
 #: A term of the lexicon: the least number of different following words in toxic documents, and the least log odds.
 MIN_CONTEXTS, MIN_LOG_ODDS = 8, 2.5
 STARTS = (3, 4, 5, 6)
@@ -99,17 +112,32 @@ class Grammar:
         sums = [0.0] * len(OUTPUTS)
         if not any(s == INSULT or s == THREAT for s, _ in symbols):
             return tuple(sums)
-        quoted, start = False, 0
+        moves, quoted, start = grammar_machine().moves, 0, 0
         for k in range(len(symbols) + 1):
-            if k == len(symbols) or symbols[k][0] == END:
-                clause = symbols[start:k]
-                if any(s == INSULT or s == THREAT for s, _ in clause):
-                    made, quoted = transduce(clause, quoted)
-                    for j, x in enumerate(made):
-                        sums[j] += min(x, CLAUSE_CAP)
-                elif sum(s == QUOTE for s, _ in clause) % 2:
-                    quoted = not quoted
-                start = k + 1
+            if k < len(symbols) and symbols[k][0] != END:
+                continue
+            clause = symbols[start:k]
+            start = k + 1
+            if not any(s == INSULT or s == THREAT for s, _ in clause):
+                quoted ^= sum(s == QUOTE for s, _ in clause) & 1  # nothing else lasts beyond such a clause, and nothing is put out
+                continue
+            made, held = [0.0] * len(OUTPUTS), 0.0
+            state = moves[0][QUOTE][0] if quoted else 0
+            for symbol, weight in [*clause, (END, 0.0)]:
+                quoted ^= symbol == QUOTE
+                state, act = moves[state][symbol]
+                if act:
+                    of_held, of_this, hold, threat = act
+                    if of_held:
+                        made[of_held - 1] += held
+                    if of_this:
+                        made[of_this - 1] += weight
+                    if hold:
+                        held = weight
+                    if threat:
+                        made[4] += 1.0
+            for j, x in enumerate(made):
+                sums[j] += min(x, CLAUSE_CAP)
         return tuple(sums)
 
     def score(self, text: str) -> float:
@@ -120,50 +148,88 @@ class Grammar:
 _FIXED = {w: s for words, s in ((REPORTED, REPORT), (NEGATIONS, NEGATION), (TARGETS, TARGET), (THREATS, THREAT)) for w in words}
 
 
-def transduce(clause: list[tuple[int, float]], quoted: bool) -> tuple[list[float], bool]:
-    """Run the joint transducer over one clause; gives its outputs, and whether a quotation is still open.
-
-    State: (in a quotation, in reported speech, words that negation still reaches, words that a target
-    still reaches, words that a threat still waits for a target, insult that a target may yet direct).
-    """
-    out = [0.0] * len(OUTPUTS)
-    reported, negated, aimed, threat = False, 0, 0, 0
-    pending: tuple[int, float] | None = None  # a plain insult's output, held back for words to come
-    for symbol, weight in clause:
-        if symbol == QUOTE:
-            quoted = not quoted
-            continue
-        if pending:
-            left, held = pending
-            if symbol == TARGET:
-                out[3] += held
-                pending = None
-            elif left == 1:
-                out[0] += held
-                pending = None
-            else:
-                pending = (left - 1, held)
-        if symbol == INSULT:
-            if quoted or reported:
-                out[2] += weight
-            elif negated:
-                out[1] += weight
-            elif aimed:
-                out[3] += weight
-            else:
-                if pending:
-                    out[0] += pending[1]
-                pending = (TARGET_REACH, weight)
-        elif symbol == TARGET and threat and not (quoted or reported or negated):
-            out[4] += 1.0
-            threat = 0
-        negated = NEGATION_REACH if symbol == NEGATION else max(0, negated - 1)
-        aimed = TARGET_REACH if symbol == TARGET else max(0, aimed - 1)
-        threat = TARGET_REACH if symbol == THREAT and not negated else max(0, threat - 1)
-        reported = reported or symbol == REPORT
-    if pending:
-        out[0] += pending[1]
-    return out, quoted
+#: Symbols that the transducers write beside those they read.
+INSULT_REPORTED, INSULT_NEGATED, INSULT_DIRECTED, TARGET_REPORTED, TARGET_NEGATED, FULFILLED = "insult, reported", "insult, negated", "insult, directed", "target, reported", "target, negated", "threat fulfilled"
+PLAIN, NEGATED, REPORTED_OUT, DIRECTED = 1, 2, 3, 4
+
+
+def reported_speech() -> Machine:
+    def step(state, s):
+        quoted, reported = state
+        if s == QUOTE:
+            return (1 - quoted, reported), None
+        if s == END:
+            return (quoted, 0), END
+        spoken = quoted or reported
+        out = {INSULT: INSULT_REPORTED, TARGET: TARGET_REPORTED}.get(s, s) if spoken else s
+        return (quoted, 1 if s == REPORT else reported), OTHER if s == REPORT else out
+
+    return machine((0, 0), range(8), step)
+
+
+def negation() -> Machine:
+    def step(left, s):
+        if s == END:
+            return 0, END
+        if s == NEGATION:
+            return NEGATION_REACH, OTHER
+        after = max(0, left - 1)
+        if s == THREAT:
+            return after, OTHER if after else THREAT
+        return after, {INSULT: INSULT_NEGATED, TARGET: TARGET_NEGATED}.get(s, s) if left else s
+
+    return machine(0, [OTHER, INSULT, THREAT, TARGET, NEGATION, END, INSULT_REPORTED, TARGET_REPORTED], step)
+
+
+def target() -> Machine:
+    def step(left, s):
+        if s == END:
+            return 0, END
+        if s in (TARGET, TARGET_REPORTED, TARGET_NEGATED):
+            return TARGET_REACH, s
+        return max(0, left - 1), INSULT_DIRECTED if left and s == INSULT else s
+
+    return machine(0, [OTHER, INSULT, THREAT, TARGET, END, INSULT_REPORTED, INSULT_NEGATED, TARGET_REPORTED, TARGET_NEGATED], step)
+
+
+def threat() -> Machine:
+    def step(left, s):
+        if s == END:
+            return 0, END
+        if s == THREAT:
+            return TARGET_REACH, OTHER
+        if s == TARGET and left:
+            return 0, FULFILLED
+        return max(0, left - 1), TARGET if s in (TARGET_REPORTED, TARGET_NEGATED) else s
+
+    return machine(0, [OTHER, INSULT, THREAT, TARGET, END, INSULT_REPORTED, INSULT_NEGATED, INSULT_DIRECTED, TARGET_REPORTED, TARGET_NEGATED], step)
+
+
+def insult() -> Machine:
+    """Writes (output of the held insult, output of this one, whether this one is held, whether a threat is fulfilled), or nothing."""
+
+    def step(left, s):
+        if s in (TARGET, FULFILLED):
+            out = (DIRECTED if left else 0, 0, False, s == FULFILLED)
+            return 0, out if any(out) else None
+        if s == END:
+            return 0, (PLAIN, 0, False, False) if left else None
+        if s == INSULT:
+            return TARGET_REACH, (PLAIN if left else 0, 0, True, False)
+        out = (PLAIN if left == 1 else 0, {INSULT_REPORTED: REPORTED_OUT, INSULT_NEGATED: NEGATED, INSULT_DIRECTED: DIRECTED}.get(s, 0), False, False)
+        return max(0, left - 1), out if any(out) else None
+
+    return machine(0, [OTHER, INSULT, TARGET, END, INSULT_REPORTED, INSULT_NEGATED, INSULT_DIRECTED, FULFILLED], step)
+
+
+def cascade() -> list[Machine]:
+    return [reported_speech(), negation(), target(), threat(), insult()]
+
+
+@lru_cache(maxsize=1)
+def grammar_machine() -> Machine:
+    """All five in one: after the end of a clause it is in its start, or in the state of an open quotation."""
+    return reduce(lambda a, b: minimal(compose(a, b)), cascade())
 
 
 def seeds() -> dict[str, float]:
@@ -189,14 +255,14 @@ def _candidates(sample: DataFrame) -> list[str]:
 
     found = sample.where("toxic = 1").select("text").mapInArrow(run, "term string, context long")
     counted = found.groupBy("term").agg(F.count_distinct("context").alias("n")).where(F.col("n") >= MIN_CONTEXTS)
-    return [r.term for r in counted.orderBy(F.desc("n"), "term").limit(MAX_CANDIDATES).collect()]
+    return [r.term for r in counted.select("term").collect()]  # as many as the sample's words at most
 
 
 def _lexicon(sample: DataFrame, candidates: list[str]) -> dict[str, float]:
     """Weights of whole words, then of starts; a start counts only by words that have no weight of their own."""
     words = _weights(sample, {t for t in candidates if t[-1] != "*"}, set())
     found = words | _weights(sample, {t for t in candidates if t[-1] == "*"}, set(words))
-    return dict(sorted(found.items(), key=lambda x: (-x[1], x[0]))[:MAX_TERMS])
+    return dict(sorted(found.items(), key=lambda x: (-x[1], x[0])))
 
 
 def _weights(sample: DataFrame, wanted: set[str], but: set[str]) -> dict[str, float]:
@@ -227,21 +293,21 @@ def _weights(sample: DataFrame, wanted: set[str], but: set[str]) -> dict[str, fl
     return {t: min(w, 8.0) for t, w in odds.items() if w >= MIN_LOG_ODDS}
 
 
-def _factors(features: np.ndarray, labels: np.ndarray, prior: tuple = PRIOR, strength: float = 0.3, rounds: int = 100) -> tuple[float, tuple[float, ...]]:
-    """Logistic regression by damped Newton steps, drawn to the prior; factors don't go below zero."""
+def _factors(features: np.ndarray, labels: np.ndarray, counts: np.ndarray, prior: tuple = PRIOR, strength: float = 0.3, rounds: int = 100) -> tuple[float, tuple[float, ...]]:
+    """Logistic regression of rows that stand for `counts` documents each, by damped Newton steps, drawn to the prior; factors don't go below zero."""
     x = np.hstack([np.ones((len(features), 1)), features])
     start = np.array([prior[0], *prior[1]])
     w, pull = start.copy(), np.full(len(start), strength)
 
     def loss(w: np.ndarray) -> float:
         z = x @ w
-        return float(np.logaddexp(0, z).sum() - labels @ z + 0.5 * (pull * (w - start) ** 2).sum())
+        return float(counts @ (np.logaddexp(0, z) - labels * z) + 0.5 * (pull * (w - start) ** 2).sum())
 
     now = loss(w)
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        slope = x.T @ (p - labels) + pull * (w - start)
-        bend = (x * (p * (1 - p))[:, None]).T @ x + np.diag(pull)
+        slope = x.T @ (counts * (p - labels)) + pull * (w - start)
+        bend = (x * (counts * p * (1 - p))[:, None]).T @ x + np.diag(pull)
         step, part = np.linalg.solve(bend, slope), 1.0
         while part > 1e-6 and loss(w - part * step) > now:
             part /= 2
@@ -270,9 +336,8 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     found = rows.select("text", "toxic").mapInArrow(run, "toxic int, made array<double>").groupBy("toxic", "made").count().collect()
     if not found:
         return grammar
-    weight = [r["count"] for r in found]
-    features, labels_ = (np.repeat(np.array(x, float), weight, axis=0) for x in ([list(r.made) for r in found], [r.toxic for r in found]))
-    grammar.bias, grammar.factors = _factors(features.reshape(-1, len(OUTPUTS)), labels_)
+    features, labels_, counts = (np.array(x, float) for x in ([list(r.made) for r in found], [r.toxic for r in found], [r["count"] for r in found]))
+    grammar.bias, grammar.factors = _factors(features.reshape(-1, len(OUTPUTS)), labels_, counts)
     return grammar
 
 
@@ -280,8 +345,8 @@ def score(df: DataFrame, grammar: Grammar, text_col: str = "text") -> DataFrame:
     """The frame's columns and, after them, _score (double): columns of that name are replaced."""
     import pyarrow as pa
 
-    rows = df.drop("_score").withColumn("_text", F.col(text_col))
-    schema = df.drop("_score").schema.add("_score", "double")
+    rows = df.select("*", F.col(text_col).alias(common.fresh(df, "text_to_score"))).drop("_score")
+    schema = T.StructType([*df.drop("_score").schema.fields, T.StructField("_score", T.DoubleType())])
     width = len(schema.fields) - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
