@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +15,7 @@ DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 
@@ -35,11 +37,29 @@ def ready(spark: SparkSession) -> None:
         known["PYTHONPATH"] = os.pathsep.join(x for x in (known.get("PYTHONPATH"), ROOT) if x)
 
 
-def stable(df: DataFrame) -> DataFrame:
-    """Rows that stay the same however often they are read, even if executors are lost: checkpointed where the cluster names a folder, else kept."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names for files all executors see; a folder of our own only where one machine is the cluster."""
     context = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if context.getCheckpointDir() is None and folder:
+    if context.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="paragraf-")
         context.setCheckpointDir(folder)
-    return df.checkpoint() if context.getCheckpointDir() else df.cache()
+    return context.getCheckpointDir()
+
+
+def stable(df: DataFrame) -> DataFrame:
+    """Rows that stay the same however often they are read, even if executors are lost: files in the shared folder.
+
+    Spark removes them with the frame if spark.cleaner.referenceTracking.cleanCheckpoints is set, as `session` does.
+    """
+    shared_folder(df.sparkSession)
+    return df.checkpoint()
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    """Remove a folder wherever it is stored."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
