@@ -8,10 +8,8 @@ MODULES = ("simhash", "bpe", "fingerprints", "token_counts", "packing", "url_fil
 
 
 def queries() -> dict:
-    """name -> callable(spark, sf_dir) of every operator here, and of the pipeline."""
-    import corpus_pipeline
-
-    found = {"pipeline": corpus_pipeline.run}
+    """name -> callable(spark, sf_dir) of every operator here."""
+    found = {}
     for name in MODULES:
         found |= import_module(f"{__name__}.{name}").QUERIES
     return found
@@ -19,9 +17,7 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     """name -> DuckDB SQL where SQL can express the operator."""
-    import corpus_pipeline
-
-    found = {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
+    found = {}
     for name in MODULES:
         found |= import_module(f"{__name__}.{name}").SQL
     return found

@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import os
-import tempfile
-from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-ROOT = str(Path(__file__).resolve().parents[2])
+from ..session import ready, shared_folder, stable
 
+__all__ = ["bounds_below", "checkpoint", "constant", "fresh", "partitions", "place", "python_strings", "ready", "shared_folder", "table", "vocabulary"]
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A driver table; every query reads through Spark so that remote stores work."""
@@ -17,25 +17,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def ready(spark: SparkSession) -> None:
-    """Let Python workers import this package when the driver did so by its working folder."""
-    known = spark.sparkContext.environment
-    if ROOT not in known.get("PYTHONPATH", "").split(os.pathsep):
-        known["PYTHONPATH"] = os.pathsep.join(x for x in (known.get("PYTHONPATH"), ROOT) if x)
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names for files all executors see; only without one (tests) a folder of our own."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="paragraf-"))
-    return context.getCheckpointDir()
-
-
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cut lineage with files in the shared folder."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return stable(df)
 
 
 def partitions(spark: SparkSession) -> int:
@@ -60,6 +44,35 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def constant(values: list[int]) -> Column:
+    """An array of numbers that is short in the plan."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>") if values else F.array().cast("array<bigint>")
+
+
+def bounds_below(bounds: Column, count: Column, key: Column, or_equal: bool = False) -> Column:
+    """How many of the sorted bounds are below a key (or equal to it), by binary search."""
+    middle = lambda s: F.floor((s["lo"] + s["hi"]) / 2).cast("int")
+    before = (lambda x: x <= key) if or_equal else (lambda x: x < key)
+    span = lambda lo, hi: F.struct(lo.cast("int").alias("lo"), hi.cast("int").alias("hi"))
+    return F.aggregate(
+        F.sequence(F.lit(1), F.ceil(F.log2(count + 1)).cast("int") + 1),
+        span(F.lit(0), count),
+        lambda s, _: F.when(s["lo"] >= s["hi"], s).otherwise(F.when(before(F.get(bounds, middle(s))), span(middle(s) + 1, s["hi"])).otherwise(span(s["lo"], middle(s)))),
+        lambda s: s["lo"],
+    )
+
+
+def place(bounds: Column, count: Column, key: Column, text: Column) -> Column:
+    """Number of the range of keys, 0 to count, that a row falls to, in order of (key, md5 of the text).
+
+    A key that is itself a bound, once or several times, as one that many rows share is, has its rows
+    spread over the ranges that meet there, by their texts.
+    """
+    low, high = bounds_below(bounds, count, key), bounds_below(bounds, count, key, or_equal=True)
+    part = F.conv(F.substring(F.md5(F.coalesce(text, F.lit("")).cast("binary")), 1, 8), 16, 10).cast("double") / float(1 << 32)
+    return F.when(low == high, low).otherwise(low + F.floor(part * (high - low + 1)).cast("int")).cast("int")
+
+
 def python_strings(column) -> list[str]:
     """Texts of an Arrow column, null as empty."""
     return [x or "" for x in column.to_pylist()]
