@@ -7,7 +7,9 @@ whose columns hold one layout is mapped by its schema. Layouts not in the regist
 The template writes a turn as START role newline text END newline. Inside roles and texts every "<",
 backslashes, "|" gets one backslash more, which reading takes away again, so no text can hold a control
 string, and any text comes back as it was; roles also write backslash and newline as two characters.
-Assistant texts stand under the loss mask, given as spans of the formatted text.
+Assistant texts stand under the loss mask, given as spans of the formatted text. `Reader` takes a
+formatted conversation in parts of any size, cut anywhere, finds its turns by the control strings alone,
+and reads the text under the loss mask by the spans' places in the whole.
 
 Turns are ordered by `turn`, nulls first, then by role and text, so that ties and repeated rows have one
 order; all are kept. Null roles and texts count as empty. Rows with a null conversation form one
@@ -139,13 +141,14 @@ def turns_of_records(df: DataFrame, id_col: str, json_col: str) -> DataFrame:
 def turns_of_frame(df: DataFrame, id_col: str = "conv_id", drop: tuple[str, ...] = ()) -> DataFrame:
     """(conv_id, turn, role, text) of a frame whose columns, without those in `drop`, hold one layout.
 
-    Columns beyond a known layout are taken off only if exactly one layout is left that way.
+    Columns beyond a known layout are taken off: the layout of single turns wins if its fields are there,
+    else exactly one layout must be left that way.
     """
     schema = T.StructType([f for f in df.schema.fields if f.name not in drop])
     mapping = REGISTRY.get(fingerprint(schema_paths(schema)))
     if mapping is None:
         inside = [m for m in MAPPINGS if set(m.paths) <= schema_paths(schema)]
-        inside = [m for m in inside if not any(set(m.paths) < set(o.paths) for o in inside)]
+        inside = [m for m in inside if m.rows] or [m for m in inside if not any(set(m.paths) < set(o.paths) for o in inside)]
         if len(inside) != 1:
             raise ValueError(f"no mapping for the fields {sorted(schema_paths(schema))}")
         mapping = inside[0]
@@ -177,6 +180,43 @@ def segments(turns: DataFrame) -> DataFrame:
     return turns.select("conv_id", "turn", role.alias("role"), text.alias("order_text"), F.concat(head, body, F.lit(END + "\n")).alias("segment"), F.when(mine, start).alias("loss_start"), F.when(mine, start + F.length(body)).alias("loss_stop"))
 
 
+class Reader:
+    """Reads a formatted conversation from its parts. turns: (role, text) of turns that are complete; masked: the text under each loss span that is complete."""
+
+    def __init__(self):
+        self.rest, self.at, self.searched = "", 0, 0  # what is not read yet, the place of its start, and how much of it holds no end
+        self.spans: list[tuple[int, int]] = []
+
+    def feed(self, part: str, spans: list[tuple[int, int]] = ()) -> tuple[list[tuple[str, str]], list[str]]:
+        self.rest += part
+        self.spans += spans
+        turns, masked, done = [], [], 0
+        while (end := self.rest.find(END + "\n", max(done, self.searched))) >= 0:
+            stop = end + len(END) + 1
+            turns.append(read_segment(self.rest[done:stop]))
+            while self.spans and self.spans[0][0] < self.at + stop:
+                a, b = (x - self.at for x in self.spans.pop(0))
+                if not done <= a <= b <= end:
+                    raise ValueError("a loss span is not within a turn")
+                masked.append(unescape(self.rest[a:b]))
+            done = stop
+        self.rest, self.at = self.rest[done:], self.at + done
+        self.searched = max(0, len(self.rest) - len(END))
+        return turns, masked
+
+    def close(self) -> None:
+        if self.rest or self.spans:
+            raise ValueError("the conversation ends within a turn")
+
+
+def read_conversation(formatted: str, spans: list[tuple[int, int]] = ()) -> tuple[list[tuple[str, str]], list[str]]:
+    """(turns, texts under the loss mask) of a whole formatted conversation."""
+    reader = Reader()
+    found = reader.feed(formatted, list(spans))
+    reader.close()
+    return found
+
+
 SEGMENT = re.compile(re.escape(START) + r"([^\n]*)\n(.*)" + re.escape(END) + r"\n", re.S)
 ESCAPED = re.compile(r"<\\(\\*)\|")
 
@@ -208,7 +248,7 @@ def conversations(turns: DataFrame) -> DataFrame:
 
 
 def digests(turns: DataFrame) -> DataFrame:
-    """Per conversation, read back from its segments: n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars."""
+    """Per conversation, read back from its formatted text as a stream: n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars."""
     import pyarrow as pa
 
     names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
@@ -220,6 +260,7 @@ def digests(turns: DataFrame) -> DataFrame:
 
         def close() -> None:
             if now is not None:
+                now[6].close()
                 done.append((now[0], now[1], now[2].hexdigest(), now[3], now[4].hexdigest(), now[5]))
 
         def batch_of() -> pa.RecordBatch:
@@ -231,15 +272,15 @@ def digests(turns: DataFrame) -> DataFrame:
             for conv, segment, start, stop in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "segment", "loss_start", "loss_stop")), strict=True):
                 if now is None or now[0] != conv:
                     close()
-                    now = [conv, 0, hashlib.sha256(), 0, hashlib.sha256(), 0]
-                role, text = read_segment(segment)
-                now[1] += 1
-                now[2].update(f"{role}\n{text}\n".encode())
+                    now = [conv, 0, hashlib.sha256(), 0, hashlib.sha256(), 0, Reader()]
+                turns_, masked = now[6].feed(segment, [] if start is None else [(now[5] + start, now[5] + stop)])
+                now[1] += len(turns_)
                 now[5] += len(segment)
-                if start is not None:
-                    masked = unescape(segment[start:stop])
-                    now[3] += len(masked)
-                    now[4].update(masked.encode())
+                for role, text in turns_:
+                    now[2].update(f"{role}\n{text}\n".encode())
+                for text in masked:
+                    now[3] += len(text)
+                    now[4].update(text.encode())
             if done:
                 yield batch_of()
         close()

@@ -87,3 +87,34 @@ def test_edges(spark):
     got = {r.conv_id: (r.n_turns, r.loss_chars) for r in chat.digests(spark.createDataFrame(rows, SHAPE)).collect()}
     assert got == {None: (1, 0), 1: (2, 600_000)}
     assert chat.digests(spark.createDataFrame([], SHAPE)).count() == 0
+
+
+def test_reader_of_parts_cut_anywhere(spark):
+    import random
+
+    rnd = random.Random(1)
+    pool = [chat.HOSTILE, "", "<", "<|", "\\<\\|", "a\nb", chat.END, chat.START, "<\\|im_end|>\n", "é𝄞"]
+    turns = [(1, k, rnd.choice(["user", "assistant", "a\nb\\", "<|x"]), "".join(rnd.choice(pool) for _ in range(rnd.randint(0, 4)))) for k in range(60)]
+    whole = chat.conversations(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")).first()
+    spans = [(s.start, s.stop) for s in whole.loss_spans]
+    wanted = [(r, t) for _, _, r, t in turns], [t for _, _, r, t in turns if r == "assistant"]
+    assert chat.read_conversation(whole.formatted, spans) == wanted
+    for _ in range(20):
+        reader, got, at, left = chat.Reader(), ([], []), 0, list(spans)
+        while at < len(whole.formatted):
+            n = rnd.randint(1, 60)
+            now = [s for s in left if s[0] < at + n]
+            left = left[len(now) :]
+            for a, b in zip(got, reader.feed(whole.formatted[at : at + n], now), strict=True):
+                a += b
+            at += n
+        reader.close()
+        assert got == wanted
+    for broken in (whole.formatted[:-1], whole.formatted[1:]):
+        with pytest.raises(ValueError):
+            chat.read_conversation(broken, spans)
+
+
+def test_turns_win_over_other_layouts(spark):
+    rows = spark.createDataFrame([(1, 0, "user", "hi", "p", "r", "c", "i", "o")], "conv_id long, turn long, role string, text string, prompt string, response string, completion string, instruction string, output string")
+    assert [tuple(r) for r in chat.turns_of_frame(rows).collect()] == [(1, 0, "user", "hi")]
