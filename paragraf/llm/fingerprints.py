@@ -12,8 +12,10 @@ have sketches of twice the cells and other positions, up to 192, beyond which se
 Likeness is the digests in common by those of either text; 1 if both have none.
 
 The next document is that with the next smaller id, the smallest's is the largest one; of equal ids the
-text decides, null ids count as smallest. It is found by one shuffle of texts into ranges of ids, whose
-bounds are at most MAX_RANGES quantiles; each range also gets the last document of the range before.
+md5 of the text decides, null ids count as smallest. It is found by one shuffle of texts into ranges of
+(id, md5) of about RANGE_ROWS rows, whose bounds are quantiles (beyond MAX_RANGES ranges hold more rows
+each, which a sorted window streams through, and spills); an id that many rows share is split over ranges
+by its texts. Each range also gets the last document of the range before.
 
 Null texts count as empty and have a sketch of zeros. Repeated rows come back each and are each other's
 next. One row alone is its own next; empty tables give empty results; columns other than id and text are
@@ -29,8 +31,8 @@ from . import common
 
 #: Least characters of a cut paragraph, digests of a table, cells in a row of the base sketch, and the row lengths tried.
 PIECE, PER_TABLE, ROW, ROWS_TRIED = 100, 8, 4, (4, 8, 16, 32, 64)
-#: Documents in a range of ids, and the most ranges, on average.
-RANGE_ROWS, MAX_RANGES = 1000, 4096
+#: Documents in a range on average, and the most ranges, whose bounds the plan holds.
+RANGE_ROWS, MAX_RANGES = 1000, 1 << 16
 LOWEST = -(1 << 63)
 CELL = "struct<n:int,k:bigint,c:bigint>"
 DIGEST = "struct<n:int,k:bigint,c:bigint>"
@@ -106,29 +108,20 @@ def with_next(rows: DataFrame) -> DataFrame:
     keyed = rows.withColumn("key", F.coalesce("id", F.lit(LOWEST)))
     count = keyed.count()
     ranges = max(1, min(MAX_RANGES, -(-count // RANGE_ROWS), count))
-    bounds = [LOWEST]
+    bounds: list[int] = []
     if count and ranges > 1:
-        bounds = sorted(set(keyed.agg(F.percentile_approx("key", [k / ranges for k in range(1, ranges)], 20 * ranges)).first()[0]))
-    text = F.split(F.lit(",".join(map(str, bounds))), ",").cast("array<bigint>")
-    steps = len(bounds).bit_length()
-    # binary search for the number of bounds below the key
-    found = F.aggregate(
-        F.sequence(F.lit(1), F.lit(steps)),
-        F.struct(F.lit(0).alias("lo"), F.lit(len(bounds)).alias("hi")),
-        lambda s, _: F.when(s["lo"] >= s["hi"], s).otherwise(
-            F.when(F.get(text, F.floor((s["lo"] + s["hi"]) / 2).cast("int")) < F.col("key"), F.struct((F.floor((s["lo"] + s["hi"]) / 2) + 1).cast("int").alias("lo"), s["hi"].alias("hi"))).otherwise(F.struct(s["lo"].alias("lo"), F.floor((s["lo"] + s["hi"]) / 2).cast("int").alias("hi")))
-        ),
-        lambda s: s["lo"],
-    )
-    ranged = keyed.withColumn("range", found)
-    last = sorted(ranged.groupBy("range").agg(F.max("key").alias("key")).collect())  # at most MAX_RANGES + 1 rows
-    goes = [(k, last[(n + 1) % len(last)][0], n == len(last) - 1) for n, (_, k) in enumerate(last)]
-    ghosts = spark.createDataFrame(goes, "key long, range int, wraps boolean")
-    own = ranged.select("range", F.lit(False).alias("wraps"), F.lit(False).alias("ghost"), "key", "id", "text")
-    more = keyed.join(F.broadcast(ghosts), "key").select("range", "wraps", F.lit(True).alias("ghost"), "key", "id", "text")
+        bounds = sorted(keyed.agg(F.percentile_approx("key", [k / ranges for k in range(1, ranges)], 20 * ranges)).first()[0])
+    ranged = keyed.withColumn("range", common.place(common.constant(bounds), F.lit(len(bounds)), F.col("key"), F.col("text"))).withColumn("mark", F.md5("text"))
+    last = sorted(ranged.groupBy("range").agg(F.max(F.struct("key", "mark")).alias("last")).collect())  # a row a range
+    goes = [(x.key, x.mark, last[(n + 1) % len(last)][0], n == len(last) - 1) for n, (_, x) in enumerate(last)]
+    ghosts = spark.createDataFrame(goes, "key long, mark string, to int, wraps boolean")
+    own = ranged.select("range", F.lit(False).alias("wraps"), F.lit(False).alias("ghost"), "key", "mark", "id", "text")
+    # equal rows of one mark are alike, so one of them goes on
+    more = ranged.join(F.broadcast(ghosts), ["key", "mark"]).groupBy("key", "mark", "to", "wraps").agg(F.min("id").alias("id"), F.min("text").alias("text"))
+    more = more.select(F.col("to").alias("range"), "wraps", F.lit(True).alias("ghost"), "key", "mark", "id", "text")
     dealt = own.unionByName(more).repartition(common.partitions(spark), "range")
     dealt = dealt.withColumn("own", F.expr(digests("text"))).withColumn("own_cells", F.expr(sketch("own")))
-    before = Window.partitionBy("range").orderBy(F.desc("wraps"), "key", "text")
+    before = Window.partitionBy("range").orderBy(F.desc("wraps"), F.desc("ghost"), "key", "mark")
     return dealt.withColumn("next", F.lag(F.struct("text", "own", "own_cells")).over(before)).where("not ghost").select("id", "text", "own", "own_cells", "next")
 
 

@@ -92,3 +92,13 @@ def test_edges(spark, docs):
 def test_no_python_on_the_main_path(spark, sf_dir):
     plan = fingerprints.op3_fingerprints(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|MapInArrow", plan)
+
+
+def test_an_id_of_many_rows_is_split_over_ranges(spark, docs, monkeypatch):
+    monkeypatch.setattr(fingerprints, "RANGE_ROWS", 10)
+    rows = [(5, f"text {k}. {k} other") for k in range(300)] + [(None, f"n {k}") for k in range(100)] + [(9, "last"), (-9, "first")]
+    found = fingerprints.with_next(docs(rows).select(F.col("doc_id").alias("id"), "text")).select("id", "text", F.col("next.text").alias("next"), F.spark_partition_id().alias("p")).collect()
+    mark = lambda r: (fingerprints.LOWEST if r[0] is None else r[0], hashlib.md5(r[1].encode()).hexdigest())
+    ordered = sorted(rows, key=mark, reverse=True)
+    expected = {r: ordered[(n + 1) % len(ordered)][1] for n, r in enumerate(ordered)}
+    assert {(r.id, r.text): r.next for r in found} == expected
