@@ -41,11 +41,52 @@ def test_random_repeats(spark, docs):
             assert all(a.stop < b.start for a, b in zip(r.intervals, r.intervals[1:], strict=False))
 
 
+def test_two_deals_and_second_bounds(spark, docs, monkeypatch):
+    rnd = random.Random(5)
+    phrases = [" ".join(rnd.choice("abcdefgh") for _ in range(rnd.randint(1, 9))) for _ in range(30)]
+    rows = [(rnd.randrange(10**6), " ".join(rnd.choice(phrases) for _ in range(rnd.randint(0, 9)))) for _ in range(300)]
+    rows = list(dict(rows).items())
+    monkeypatch.setattr(substring, "BLOCK_CHUNKS", 3)
+    for options in ({"most_buckets": 5, "buckets": 40, "chunks": 20}, {"most_buckets": 1, "buckets": 7, "chunks": 9}, {"chunks": 1}):
+        found = substring.remove(docs(rows), width=4, **options)
+        assert {r.id: (r.n_words, r.n_removed, r.h) for r in found.withColumn("h", F.sha2(F.col("kept_text").cast("binary"), 256)).collect()} == brute(rows, 4)
+    frame = spark.createDataFrame(rows, "id long, text string")
+    for most in (4, 1000):
+        placed = substring.chunked(frame, sum(len(t) + substring.ROW_BYTES for _, t in rows), 24, most_bounds=most).collect()
+        by_id = [r.chunk for r in sorted(placed, key=lambda r: r.id)]
+        assert by_id == sorted(by_id) and len(set(by_id)) > 15
+
+
+def test_bytes_and_rows_of_a_chunk(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()
+    chunk, keys = substring.Chunk([r.doc_id for r in rows], [r.text for r in rows], 20), substring.Keys(1)
+    first = chunk.firsts()
+    for buckets in (136, 8000):
+        sent = [keys.packed(chunk.high[at], chunk.low[at]) for _, at in chunk.entries(first, buckets)]
+        assert sum(map(len, sent)) == 9 * first.sum() and len(sent) <= buckets
+
+
+def test_an_id_of_many_rows_is_split(spark):
+    rnd = random.Random(6)
+    rows = [(k if k < 200 else 150, " ".join(rnd.choice("abcdefghijkl") for _ in range(30))) for k in range(600)] + [(None, f"t{k} " * 25) for k in range(300)]
+    frame = spark.createDataFrame(rows, "id long, text string")
+    placed = substring.chunked(frame, sum(len(t) + substring.ROW_BYTES for _, t in rows), 16).collect()
+    sizes = {}
+    for r in placed:
+        sizes[r.chunk] = sizes.get(r.chunk, 0) + 1
+    assert max(sizes.values()) < 200
+    keyed = sorted(placed, key=lambda r: (substring.LOWEST if r.id is None else r.id, hashlib.md5(r.text.encode()).digest()))
+    assert [r.chunk for r in keyed] == sorted(r.chunk for r in placed)
+    order = [(n, r.text) for n, r in enumerate(keyed)]
+    got = sorted((r.id if r.id is not None else -1, r.n_words, r.n_removed, hashlib.sha256(r.kept_text.encode()).hexdigest()) for r in substring.remove(frame, "id", chunks=16).collect())
+    assert got == sorted((r.id if r.id is not None else -1, *brute(order)[n]) for n, r in enumerate(keyed))
+
+
 def test_edges(spark, docs):
     passage = " ".join(f"w{k}" for k in range(25))
     rows = [(3, passage), (1, "start " + passage), (None, passage), (4, None), (5, ""), (6, passage), (6, passage), (7, "z " * 30_000), (8, "x" * 300_000), (9, "  odd\tspace \n")]
     got = sorted((r.id is not None, r.id or 0, r.n_words, r.n_removed) for r in substring.remove(docs(rows)).collect())
     assert got == sorted([(False, 0, 25, 0), (True, 1, 26, 25), (True, 3, 25, 25), (True, 4, 0, 0), (True, 5, 0, 0), (True, 6, 25, 25), (True, 6, 25, 25), (True, 7, 30_000, 30_000 - 1), (True, 8, 1, 0), (True, 9, 2, 0)])
     kept = {r.id: (r.kept_text, r.carried_0) for r in substring.remove(docs(rows), untouched=True, carry=("fp",)).collect()}
-    assert kept[9] == ("  odd\tspace \n", "x") and kept[1][0] == "start"
+    assert kept[9] == ("  odd\tspace \n", "x") and kept[1][0] == "start" and kept[4][0] is None and kept[5][0] == ""
     assert substring.remove(docs(rows).limit(0)).count() == 0
