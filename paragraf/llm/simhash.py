@@ -10,7 +10,7 @@ that, since equal fingerprints were made one before.
 
 Null texts count as empty, and texts without words get fingerprint zero and are linked like any other.
 Rows with a null id take part, and are left out of the smallest id; a group with null ids only has a
-null component. Repeated rows come back as often as they came; empty tables give empty results; columns
+null component. Texts of any length are taken whole, SLICE shingles at a time. Repeated rows come back as often as they came; empty tables give empty results; columns
 other than id and text are neither read nor returned.
 """
 
