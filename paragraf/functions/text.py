@@ -10,6 +10,11 @@ def as_column(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def bind(value: Column, made) -> Column:
+    """made(value), with the value worked out once, as inside lambdas no common parts are shared."""
+    return F.get(F.transform(F.array(value), made), F.lit(0))
+
+
 def filled(c: Column | str) -> Column:
     """Null as empty."""
     return F.coalesce(as_column(c), F.lit(""))
