@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import citations as C
 from ..functions.text import filled, strip
+from ..session import stable
 
 ACTION, INPUT, FINAL = r"(?iU)Action:\s*(\w+)", r"(?iU)Action Input:\s*(.+?)(?:\n|$)", r"(?isU)Final Answer:\s*(.+)"
 
@@ -106,7 +107,7 @@ def run(queries: DataFrame, model, tools: dict[str, Callable[[DataFrame], DataFr
 
     def kept(df: DataFrame, name: str) -> DataFrame:
         if folder is None:
-            return df.checkpoint()
+            return stable(df)
         df.write.mode("overwrite").parquet(f"{folder}/{name}")
         return df.sparkSession.read.parquet(f"{folder}/{name}")
 

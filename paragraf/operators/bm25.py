@@ -4,26 +4,34 @@ Scores sum idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / avgdl)) over a que
 included; idf is ln(N - df + 0.5) - ln(df + 0.5), and terms below zero get epsilon times the mean of
 idf over all terms. Hits have scores above zero. Scores are ranked by their first nine decimals, as
 sums in another order differ in the last bits; equal ones go to the larger document id.
+
+Postings lie by document: a partition holds all terms of its documents, so that scores are added up and
+the k best of each query chosen where the postings are, and only these k rows of a query and partition
+are shuffled.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import filled, is_blank, tokenize
-from ..sources import spread
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 #: Query terms are broadcast only if counting shows at most this many rows.
 BROADCAST_ROWS = 1_000_000
+DOC = "__doc"
 
 
 @dataclass
 class SparseIndex:
-    """postings: (doc_id, dl, term, tf), so that scoring needs no join for lengths; terms: (term, df, raw_idf); three numbers."""
+    """postings: (doc_id, dl, term, tf), so that scoring needs no join for lengths; terms: (term, df, raw_idf); three numbers.
+
+    Postings of an index that was built are kept by executors, who work lost ones out again; `release` gives them back.
+    """
 
     postings: DataFrame
     terms: DataFrame
@@ -37,6 +45,9 @@ class SparseIndex:
     def idf(self) -> DataFrame:
         return self.terms.select("term", F.when(F.col("raw_idf") < 0, F.lit(self.epsilon * self.mean_idf)).otherwise(F.col("raw_idf")).alias("idf"))
 
+    def release(self) -> None:
+        self.postings.unpersist()
+
     def save(self, path: str) -> None:
         """Postings are written in order of terms, so that row groups without a query's terms are skipped."""
         self.postings.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
@@ -53,10 +64,12 @@ class SparseIndex:
 def build(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokens: Column | None = None, k1: float = K1, b: float = B, epsilon: float = EPSILON) -> SparseIndex:
     """Index of a corpus; null texts have no tokens, but count. `tokens` replaces the tokenizer by a column.
 
-    Texts are tokenized once: postings are kept for the statistics and the searches that follow.
+    Texts are tokenized once: postings are kept for the statistics and the searches that follow. Texts are
+    dealt by document before they are split into terms, so counting terms needs no further shuffle.
     """
     words = tokenize(text_col) if tokens is None else tokens
-    split = spread(docs).select(F.col(id_col).alias("doc_id"), words.alias("tokens"))
+    dealt = docs.withColumn(DOC, F.col(id_col)).repartition(tasks_for(docs), DOC)
+    split = dealt.select(F.col(DOC).alias("doc_id"), words.alias("tokens"))
     postings = split.select("doc_id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term")).groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf")).cache()
     count = docs.count()
     raw = F.ln(F.lit(float(count)) - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5)
@@ -65,13 +78,24 @@ def build(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", token
     return SparseIndex(postings, terms.drop("n"), count, (sums.n or 0) / count if count else 0.0, float(sums.mean or 0.0), k1, b, epsilon)
 
 
+def tasks_for(docs: DataFrame, bytes_each: int = 64 << 20) -> int:
+    """Partitions of postings: all cores, and no more than about `bytes_each` of the input's files in one."""
+    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return max(docs.sparkSession.sparkContext.defaultParallelism, min(-(-size // bytes_each), 100_000))
+
+
+#: What says that there is no index, or one that can't be read; all else, as a refused permission, is an error.
+ABSENT = ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA", "CANNOT_READ_FILE_FOOTER", "FAILED_READ_FILE", "UNRESOLVED_COLUMN")
+
+
 def get_or_build(spark: SparkSession, path: str, docs: DataFrame, force: bool = False, **options) -> SparseIndex:
     """The saved index, or, if there is none that can be read or `force`, one that is built and saved."""
     if not force:
         try:
             return SparseIndex.load(spark, path)
-        except Exception:  # no index, or a broken one
-            pass
+        except (AnalysisException, PySparkException) as error:
+            if not str(error.getCondition() or "").startswith(ABSENT):
+                raise
     build(docs, **options).save(path)
     return SparseIndex.load(spark, path)
 

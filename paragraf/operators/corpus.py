@@ -18,7 +18,11 @@ CITATION_LABEL, SUMMARY_LABEL = "Zitat: ", "Zusammenfassung: "
 
 
 def merge_equal_texts(df: DataFrame, ord_col: str = "ord", citation_col: str = "citation", text_col: str = "text") -> DataFrame:
-    """The first row of each stripped text; later citations are appended after "; " unless they are part of what is there."""
+    """The first row of each stripped text; later citations are appended after "; " unless they are part of what is there.
+
+    A text's distinct citations become one string, so they must fit a row; each is looked for in what is
+    there, which takes time by the square of their number.
+    """
     rows = df.withColumn("_key", strip(filled(text_col))).withColumn("_cite", strip(filled(citation_col)))
     columns = [c for c in df.columns if c != citation_col]
     # equal citations of a text are made one first, so that a text shared by many rows stays small
@@ -169,11 +173,18 @@ def block_offsets(sizes: DataFrame, id_col: str, n_col: str) -> DataFrame:
 
 
 def split(df: DataFrame, key_col: str, share: float = 0.02, seed: int = 42) -> tuple[DataFrame, DataFrame]:
-    """(train, validation) by a hash of a key: the same rows however the data lie."""
-    held = F.pmod(F.xxhash64(F.col(key_col), F.lit(seed)), F.lit(10_000)) < int(share * 10_000)
+    """(train, validation) by the md5 of key and seed: the same rows however the data lie."""
+    mark = F.md5(F.concat_ws("|", F.col(key_col).cast("string"), F.lit(str(seed))))
+    held = F.conv(F.substring(mark, 1, 8), 16, 10).cast("long") % 10_000 < int(share * 10_000)
     return df.where(~held), df.where(held)
 
 
+def log_summary(log: DataFrame, seconds_col: str = "seconds", citations_col: str = "citations", iterations_col: str = "iterations") -> DataFrame:
+    """One row queries, seconds_mean, seconds_total, citations_mean, iterations_mean of a run's log."""
+    mean = lambda c: F.avg(F.coalesce(c, F.lit(0)))
+    return log.agg(F.count("*").alias("queries"), mean(F.col(seconds_col)).alias("seconds_mean"), F.sum(F.coalesce(seconds_col, F.lit(0.0))).alias("seconds_total"), mean(F.greatest(F.size(citations_col), F.lit(0))).alias("citations_mean"), mean(F.col(iterations_col)).alias("iterations_mean"))
+
+
 def sample_corpora(spark: SparkSession) -> dict[str, DataFrame]:
     """Two tiny corpora to try the engine on."""
     laws = [(0, "Art. 1 XG", "Ein Antrag bindet bis zum Ablauf der Frist.", "XG"), (1, "Art. 2 XG", "Wer Schaden zufügt, ersetzt ihn.", "XG")]

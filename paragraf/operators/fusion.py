@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import as_column, filled, is_blank, strip
+from ..session import stable
 
 RRF_K = 60
 # Fixed values of the tools.
@@ -82,8 +83,11 @@ def above(hits: DataFrame, threshold: float = THRESHOLD, limit: int = RESULTS) -
 
 
 def tool_search(queries: DataFrame, find, threshold: float = THRESHOLD, candidates: int = CANDIDATES, limit: int = RESULTS) -> DataFrame:
-    """(query_id, rank, doc_id, score, loosened) of find(queries, k); queries without results are tried once more, loosened."""
-    first = above(find(queries, candidates), threshold, limit).withColumn("loosened", F.lit(False))
+    """(query_id, rank, doc_id, score, loosened) of find(queries, k); queries without results are tried once more, loosened.
+
+    The first hits, at most `limit` a query, are written, so that no search runs twice.
+    """
+    first = stable(above(find(queries, candidates), threshold, limit).withColumn("loosened", F.lit(False)))
     again = queries.join(first.select("query_id").distinct(), "query_id", "left_anti").withColumn("query", loosen("query")).where("query is not null")
     second = above(find(again, candidates), threshold, limit).withColumn("loosened", F.lit(True))
     return first.unionByName(second)

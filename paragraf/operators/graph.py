@@ -2,7 +2,8 @@
 
 nodes: id, label (Case or Law) and properties. edges: src, dst, src_label, dst_label, rel_type (CITES,
 CITES_LAW, LAW_CITES_CASE, LAW_CITES_LAW), weight, tf. Traversals start from a table of seeds, so that
-only their neighbourhoods are joined, and answer all seeds in one plan.
+only their neighbourhoods are joined, and answer all seeds in one plan. They read the edges several
+times: edges that are computed are best written first (`Graph.save`, or `session.stable`).
 """
 
 from __future__ import annotations
@@ -23,23 +24,26 @@ CITES, CITES_LAW, LAW_CITES_CASE, LAW_CITES_LAW = "CITES", "CITES_LAW", "LAW_CIT
 
 
 def ordered_concat(df: DataFrame, key: str, ord_col: str, text_col: str, separator: str = "\n\n") -> DataFrame:
-    """(key, text): texts of a key joined in order."""
+    """(key, text): texts of a key joined in order. The result is one value a key, so a key's texts must fit a row (2 GB)."""
     parts = F.array_sort(F.collect_list(F.struct(F.col(ord_col).alias("o"), filled(text_col).alias("t"))))
     return df.groupBy(key).agg(F.array_join(F.transform(parts, lambda p: p["t"]), separator).alias("text"))
 
 
+def first_rows(df: DataFrame, ord_col: str, max_rows: int | None) -> DataFrame:
+    """The first rows in file order, whatever numbers that order has; None or 0 is all."""
+    return df.orderBy(ord_col).limit(max_rows) if max_rows else df
+
+
 def cases(considerations: DataFrame, ord_col: str = "ord", citation_col: str = "citation", text_col: str = "text", max_rows: int | None = None) -> DataFrame:
     """Case nodes (id, text, volume, section, page): considerations of a decision joined in order; other rows are left out."""
-    rows = considerations.where(F.col(ord_col) < max_rows) if max_rows else considerations
-    keyed = rows.select(C.case_id(citation_col).alias("id"), F.col(ord_col).alias("ord"), strip(filled(text_col)).alias("text")).where("id is not null")
+    keyed = first_rows(considerations, ord_col, max_rows).select(C.case_id(citation_col).alias("id"), F.col(ord_col).alias("ord"), strip(filled(text_col)).alias("text")).where("id is not null")
     part = F.split("id", " ")
     return ordered_concat(keyed, "id", "ord", "text").select("id", "text", F.get(part, F.lit(1)).cast("int").alias("volume"), F.get(part, F.lit(2)).alias("section"), F.get(part, F.lit(3)).cast("int").alias("page"))
 
 
 def laws(provisions: DataFrame, ord_col: str = "ord", max_rows: int | None = None) -> DataFrame:
     """Law nodes (id, text, title, sr_number, book): texts of equal citations joined, the first title; book is unknown here."""
-    rows = provisions.where(F.col(ord_col) < max_rows) if max_rows else provisions
-    keyed = rows.select(collapse(filled("citation")).alias("id"), F.col(ord_col).alias("ord"), strip(filled("text")).alias("text"), strip(filled("title")).alias("title")).where("id <> ''")
+    keyed = first_rows(provisions, ord_col, max_rows).select(collapse(filled("citation")).alias("id"), F.col(ord_col).alias("ord"), strip(filled("text")).alias("text"), strip(filled("title")).alias("title")).where("id <> ''")
     parts = F.array_sort(F.collect_list(F.struct("ord", "text")))
     grouped = keyed.groupBy("id").agg(F.array_join(F.transform(parts, lambda p: p["text"]), "\n\n").alias("text"), F.min_by("title", "ord").alias("title"))
     return grouped.select("id", "text", "title", C.sr_number("id").alias("sr_number"), F.lit(None).cast("string").alias("book"))
@@ -117,6 +121,19 @@ def build(considerations: DataFrame, provisions: DataFrame | None = None, text_l
     return Graph(nodes, edges)
 
 
+def clear(graph: Graph, label: str | None = None) -> Graph:
+    """The graph without its nodes of a label and what hangs on them; without all, if none is given."""
+    if label is None:
+        return Graph(graph.nodes.limit(0), graph.edges.limit(0))
+    return Graph(graph.nodes.where(F.col("label") != label), graph.edges.where((F.col("src_label") != label) & (F.col("dst_label") != label)))
+
+
+def schema_info(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(kind, name, type): the columns of both tables, as a catalogue."""
+    rows = [(kind, f.name, f.dataType.simpleString()) for kind, df in (("node", nodes), ("edge", edges)) for f in df.schema.fields]
+    return nodes.sparkSession.createDataFrame(rows, "kind string, name string, type string")
+
+
 def assert_keys(nodes: DataFrame) -> None:
     """Ids are unique within a label."""
     again = nodes.groupBy("label", "id").count().where("count > 1").limit(5).collect()

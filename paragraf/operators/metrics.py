@@ -118,7 +118,7 @@ def score(submission: DataFrame, gold: DataFrame, abbreviations: list[str] | Non
     if strict:
         missing = [r.query_id for r in both.where("side = 'right_only'").select("query_id").orderBy("query_id").limit(5).collect()]
         if missing:
-            raise EvaluationError(f"Missing predictions for queries: {missing}")
+            raise EvaluationError(f"no predictions for {missing}")
     else:
         both = both.where("side = 'both'")
     pred, wanted, queries = _long(both, "predicted_citations", abbreviations), _long(both, "gold_citations", abbreviations), both.select("query_id")
@@ -132,26 +132,26 @@ def competition(submission: DataFrame, solution: DataFrame, row_id: str = "query
     """One row `score`: mean F1 of blank-collapsed sets, 1 if both are empty; raises EvaluationError on what the competition refuses."""
     for name, df in (("Solution", solution), ("Submission", submission)):
         if row_id not in df.columns:
-            raise EvaluationError(f"{name} is missing id column '{row_id}'.")
+            raise EvaluationError(f"no column {row_id!r} in the {name.lower()}")
     others = [c for c in submission.columns if c != row_id]
     if len(others) != 1:
-        raise EvaluationError(f"Submission must have exactly 1 prediction column (found {len(others)}).")
+        raise EvaluationError(f"one column of predictions is expected beside {row_id!r}, not {len(others)}")
     golds = [c for c in solution.columns if c != row_id]
     gold_col = "gold_citations" if "gold_citations" in golds else others[0] if others[0] in golds else golds[0] if len(golds) == 1 else None
     if gold_col is None:
-        raise EvaluationError(f"Solution file must have a 'gold_citations' column or match the submission column name. Found columns: {golds}")
+        raise EvaluationError(f"none of the solution's columns {golds} is known to be gold")
     a = submission.select(F.col(row_id).alias("query_id"), F.col(others[0]).cast("string").alias("p"), F.lit(1).alias("there"))
     rows = solution.select(F.col(row_id).alias("query_id"), F.col(gold_col).cast("string").alias("g")).join(a, "query_id", "left")
     pieces = lambda c: F.size(F.split(filled(c), rf"\Q{separator}\E"))
     check = rows.agg(F.count("*").alias("n"), F.count(F.when(F.col("there").isNull(), 1)).alias("missing"), F.max(F.greatest(F.length(filled("p")), F.length(filled("g")))).alias("chars"), F.max(F.greatest(pieces("p"), pieces("g"))).alias("items")).first()
     if check.missing:
-        raise EvaluationError(f"Submission is missing {check.missing} query IDs.")
+        raise EvaluationError(f"{check.missing} ids of the solution are not in the submission")
     if not check.n:
-        raise EvaluationError("No rows to score.")
+        raise EvaluationError("the solution is empty")
     if check.chars > max_chars:
-        raise EvaluationError(f"predicted_citations field too long ({check.chars} chars). Please limit to <= {max_chars} characters per query.")
+        raise EvaluationError(f"a field has {check.chars} characters, more than {max_chars}")
     if check["items"] > max_items:
-        raise EvaluationError(f"Too many citations in a single row ({check['items']}). Please limit to <= {max_items} citations per query.")
+        raise EvaluationError(f"a row has {check['items']} citations, more than {max_items}")
     sets = lambda c: F.array_distinct(drop_empty(F.transform(F.split(filled(c), rf"\Q{separator}\E"), collapse)))
     tp, n, m = F.size(F.array_intersect(sets("p"), sets("g"))), F.size(sets("p")), F.size(sets("g"))
     f1 = F.when((n == 0) & (m == 0), 1.0).when(tp == 0, 0.0).otherwise(2.0 * tp / (n + m))
@@ -160,18 +160,18 @@ def competition(submission: DataFrame, solution: DataFrame, row_id: str = "query
 
 def validate(submission: DataFrame, abbreviations: list[str], path: str | None = None, ord_col: str | None = None) -> list[str]:
     """Errors of a submission's form, none if it is valid: suffix, columns, null ids, repeated ids (first five), citations that can't be read in the first ten rows (first three)."""
-    errors = [] if path is None or path.lower().endswith(".csv") else [f"Expected .csv file, got {path[path.rfind('.'):] if '.' in path else ''}"]
+    errors = [] if path is None or path.lower().endswith(".csv") else [f"not a .csv file: {path}"]
     missing = {"query_id", "predicted_citations"} - set(submission.columns)
     if missing:
-        return [*errors, f"Missing required columns: {sorted(missing)}"]
+        return [*errors, f"columns that are missing: {sorted(missing)}"]
     if not submission.where("query_id is null").limit(1).isEmpty():
-        errors.append("Found NaN values in query_id column")
+        errors.append("some query_id is null")
     again = submission.where("query_id is not null").groupBy("query_id").count().where("count > 1").orderBy("query_id").limit(5).collect()
     if again:
-        errors.append(f"Found duplicate query_ids: {[r.query_id for r in again]}...")
+        errors.append(f"repeated query_ids: {[r.query_id for r in again]}")
     head = submission.orderBy(ord_col).limit(10) if ord_col else submission.limit(10)
     items = head.select(F.explode(drop_empty(F.transform(F.split(filled("predicted_citations"), ";"), collapse))).alias("c"))
     bad = items.where(C.canonical_id("c", abbreviations).isNull()).limit(3).collect()
     if bad:
-        errors.append(f"Found unparseable citations in sample: {[r.c for r in bad]}...")
+        errors.append(f"citations that can't be read: {[r.c for r in bad]}")
     return errors

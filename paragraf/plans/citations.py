@@ -67,7 +67,7 @@ def q_parse_list(spark, sf_dir):
 
 
 def q_court_text_articles(spark, sf_dir):
-    return _texts(spark, sf_dir).select("o_orderkey", _list(C.court_text_articles("text", 200), "articles"))
+    return _texts(spark, sf_dir).select("o_orderkey", _list(C.court_text_articles("text"), "articles"))
 
 
 def q_free_text_citations(spark, sf_dir):
@@ -178,7 +178,7 @@ SELECT o_orderkey, CASE WHEN v <> '' THEN 'court_decision' WHEN b IS NOT NULL TH
     "q_equivalent": f"WITH {_TEXTS}, n AS (SELECT o_orderkey, {_normal('form')} FROM texts) SELECT o_orderkey, {_ID} IS NOT NULL AS same FROM n",
     "q_parse_list": f"""WITH {_TEXTS}, n AS (SELECT o_orderkey, {_normal('form')} FROM texts), i AS (SELECT o_orderkey, {_ID} AS id FROM n)
 SELECT o_orderkey, CASE WHEN id IS NULL OR id = 'Art. 1 OR' THEN 'Art. 1 OR' ELSE id || '|Art. 1 OR' END AS items FROM i""",
-    "q_court_text_articles": f"WITH {_TEXTS} SELECT o_orderkey, {_sorted(_all(C.COURT_TEXT_ARTICLE, '').replace('(text,', '(substr(text, 1, 200),'), 'articles')} FROM texts",
+    "q_court_text_articles": f"WITH {_TEXTS} SELECT o_orderkey, {_sorted(_all(C.COURT_TEXT_ARTICLE, '').replace('(text,', '(substr(text, 1, 2000),'), 'articles')} FROM texts",
     "q_free_text_citations": f"WITH {_TEXTS} SELECT o_orderkey, {_sorted(' || '.join(_all(p) for p in C.FREE_TEXT), 'citations')} FROM texts",
     "q_gold_citations": f"""WITH {_TEXTS},
 found AS (SELECT o_orderkey, {_all('Art' + chr(92) + '.?' + chr(92) + 's*(' + chr(92) + 'd+[a-z]?)(?:' + chr(92) + 's+(?:Abs' + chr(92) + '.?|al' + chr(92) + '.?|cpv' + chr(92) + '.?)' + chr(92) + 's*(' + chr(92) + 'd+[a-z]?))?(?:' + chr(92) + 's+(?:Ziff' + chr(92) + '.?|lit' + chr(92) + '.?|Bst' + chr(92) + '.?)' + chr(92) + 's*(' + chr(92) + 'd*[a-z]?))?' + chr(92) + 's+(?:' + '|'.join(BOOKS) + ')')} || {_all(C.FULL_BGE)} AS l FROM texts),

@@ -11,7 +11,7 @@ from ..operators import corpus as K
 from ..sources import spread
 from .citations import _FLAT, BOOKS, _TEXTS
 from .citations import _texts as citing_texts
-from .retrieval import table
+from .retrieval import _scored, table
 
 
 def _cited(spark, sf_dir):
@@ -34,10 +34,11 @@ def q_coverage(spark, sf_dir):
 
 
 def q_gold_sets(spark, sf_dir):
-    """Without the ids, whose numbers follow a hash."""
+    """With a number in place of the id's text; which number a row has follows a hash, so they are compared as a set, in a column of their own."""
     texts = citing_texts(spark, sf_dir).select("form", F.concat(F.lit("Frage "), F.col("o_orderkey").cast("string")).alias("question"))
     made = K.gold_sets(texts.select("question", F.col("form").alias("answer")), BOOKS)
-    return made.select("query", "gold_citations")
+    ids = made.select(F.col("query_id").alias("query"), F.lit(None).cast("string").alias("gold_citations"))
+    return made.select("query", "gold_citations").unionByName(ids)
 
 
 def q_known_citations(spark, sf_dir):
@@ -48,8 +49,8 @@ def q_known_citations(spark, sf_dir):
 
 def _gold(spark, sf_dir):
     name = F.concat(F.lit("P"), F.col("l_partkey").cast("string"))
-    lines = table(spark, sf_dir, "lineitem").where("l_orderkey % 10 = 1").select(F.col("l_orderkey").alias("query_id"), name.alias("citation")).distinct()
-    texts = table(spark, sf_dir, "part").where("p_partkey % 4 <> 0").select(F.concat(F.lit("P"), F.col("p_partkey").cast("string")).alias("citation"), F.col("p_name").alias("text"))
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("query_id"), name.alias("citation")).distinct()
+    texts = table(spark, sf_dir, "part").select(F.concat(F.lit("P"), F.col("p_partkey").cast("string")).alias("citation"), F.col("p_name").alias("text"))
     queries = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("query_id"), F.col("o_orderpriority").alias("query"))
     return lines, queries, texts
 
@@ -90,7 +91,7 @@ def q_pack(spark, sf_dir):
 
 def q_split(spark, sf_dir):
     train, held = K.split(table(spark, sf_dir, "orders"), "o_orderkey", 0.02)
-    return train.agg(F.count("*").alias("train")).join(held.agg(F.count("*").alias("held")), F.lit(True))
+    return train.select("o_orderkey", F.lit("train").alias("part")).unionByName(held.select("o_orderkey", F.lit("held").alias("part")))
 
 
 def q_submission(spark, sf_dir):
@@ -133,20 +134,20 @@ def q_prompt(spark, sf_dir):
 
 def q_relevant(spark, sf_dir):
     """A stub model that says yes to prompts with an even number, over repeated citations."""
-    rows = table(spark, sf_dir, "lineitem").where("l_orderkey % 50 = 1").select(F.col("l_orderkey").alias("query_id"), F.concat(F.lit("P"), F.col("l_partkey").cast("string")).alias("citation"), F.struct("l_linenumber", "l_suppkey", "l_extendedprice", "l_quantity").alias("rank"), F.col("l_partkey").cast("string").alias("prompt"))
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("query_id"), F.concat(F.lit("P"), F.col("l_partkey").cast("string")).alias("citation"), F.struct("l_linenumber", "l_suppkey", "l_extendedprice", "l_quantity").alias("rank"), F.col("l_partkey").cast("string").alias("prompt"))
     return A.relevant(rows, lambda prompts: ["ja" if int(p) % 2 == 0 else "NEIN" for p in prompts]).select("query_id", "citation")
 
 
 def q_agent_stub(spark, sf_dir):
     """An agent whose model searches once and then answers with what it saw."""
     index = bm25.build(table(spark, sf_dir, "documents"))
-    docs = _cited(spark, sf_dir).select(F.col("ord").alias("doc_id"), F.concat(F.lit("SR "), F.lpad(((F.col("ord") % 900) + 100).cast("string"), 3, "0")).alias("citation"), F.substring("text", 1, 20).alias("text"))
+    docs = _cited(spark, sf_dir).select(F.col("ord").alias("doc_id"), F.concat(F.lit("SR "), F.lpad(((F.col("ord") % 900) + 100).cast("string"), 3, "0")).alias("citation"), F.regexp_replace("text", "(?i)bge|art|sr", "x").alias("text"))
 
     def tool(calls):
         return fusion.formatted(calls, bm25.search(calls, index, 3), docs)
 
     def model(prompts):
-        return ["Final Answer: done" if "Observation:" in p else f"Action: search\nAction Input: {p.splitlines()[0][:100]}\n" for p in prompts]
+        return ["Final Answer: done" if "Observation:" in p else f"Action: search\nAction Input: {' '.join(p.split())}\n" for p in prompts]
 
     queries = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
     answers, _ = A.run(queries, model, {"search": tool}, "{query}\n")
@@ -157,8 +158,8 @@ QUERIES = {f.__name__: f for f in (q_dedup_merge, q_enrich, q_coverage, q_gold_s
 
 _STRIP = lambda c: rf"regexp_replace({c}, '^\s+|\s+$', '', 'g')"
 _GOLD = """
-gold AS (SELECT DISTINCT l_orderkey AS query_id, 'P' || l_partkey AS citation FROM lineitem WHERE l_orderkey % 10 = 1),
-known AS (SELECT 'P' || p_partkey AS citation, p_name AS text FROM part WHERE p_partkey % 4 <> 0)"""
+gold AS (SELECT DISTINCT l_orderkey AS query_id, 'P' || l_partkey AS citation FROM lineitem),
+known AS (SELECT 'P' || p_partkey AS citation, p_name AS text FROM part)"""
 _TOKENS = r"""
 d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}_]+'), lambda x: x <> '') AS w FROM documents),
 o AS (SELECT doc_id, w, len(w) + 1 AS n, CAST(coalesce(sum(len(w) + 1) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM d)"""
@@ -177,7 +178,10 @@ SELECT ord, md5(t) AS digest, CAST(length(t) AS INTEGER) AS n FROM m""",
     "q_coverage": "SELECT count(*) AS rows, count(*) FILTER (WHERE o_orderkey % 4 <> 0) AS with_citations FROM orders",
     "q_gold_sets": rf"""WITH {_TEXTS}
 SELECT 'Frage ' || o_orderkey AS query, CASE o_orderkey % 8 WHEN 0 THEN {_FLAT('form')} WHEN 4 THEN 'BGE' || regexp_extract(form, '^bge(.*) cons. 2b$', 1) || ' E. 2b' ELSE form END AS gold_citations
-FROM texts WHERE o_orderkey % 8 IN (0, 2, 4, 6)""",
+FROM texts WHERE o_orderkey % 8 IN (0, 2, 4, 6)
+UNION ALL SELECT printf('train_%04d', row_number() OVER ()), NULL FROM orders WHERE o_orderkey % 8 IN (0, 2, 4, 6)""",
+    "q_split": "SELECT o_orderkey, CASE WHEN CAST('0x' || substr(md5(o_orderkey || '|42'), 1, 8) AS BIGINT) % 10000 < 200 THEN 'held' ELSE 'train' END AS part FROM orders",
+    "q_agent_stub": _scored("SELECT item_id AS query_id, text AS query FROM benchmark") + ", cited AS (SELECT query_id, count(DISTINCT doc_id % 900) AS n FROM hits WHERE rank <= 3 GROUP BY query_id) SELECT query_id, 'done' AS answer, 2 AS iterations, CAST(coalesce(n, 0) AS INTEGER) AS n_citations FROM asked LEFT JOIN cited USING (query_id)",
     "q_known_citations": "SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 'BGE 1 I ' ELSE 'Art. ' END || o_orderkey || CASE WHEN o_orderkey % 4 = 0 THEN ' E. 1' ELSE '' END AS citation FROM orders WHERE o_orderkey % 2 = 1 OR o_orderkey % 8 = 0",
     "q_pairs_pos": f"""WITH {_GOLD}
 SELECT query_id, citation, md5('S' || chr(10) || chr(10) || 'Rechtsfall:' || chr(10) || o_orderpriority || chr(10) || chr(10) || repeat('-', 72) || chr(10) || chr(10) || 'Bestimmung: ' || citation || chr(10) || text) AS digest,
@@ -210,7 +214,7 @@ SELECT conv_id, turn, md5(CASE WHEN length(text) > 50 THEN substr(text, 1, 50) |
 """,
     "q_prompt": "SELECT item_id, md5('Q: ' || text || chr(10) || 'T: search') AS digest FROM benchmark",
     "q_relevant": """
-WITH l AS (SELECT DISTINCT l_orderkey AS query_id, l_partkey FROM lineitem WHERE l_orderkey % 50 = 1)
+WITH l AS (SELECT DISTINCT l_orderkey AS query_id, l_partkey FROM lineitem)
 SELECT query_id, 'P' || l_partkey AS citation FROM l WHERE l_partkey % 2 = 0
 """,
 }

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import graph as G
-from .retrieval import ints, table
+from ..session import stable
+from .retrieval import ints, rounded, table
 
 _ID = lambda c, letter: F.concat(F.lit(letter), F.col(c).cast("string"))
 
@@ -26,9 +27,14 @@ def _cites_law(spark, sf_dir):
     return G.weighted(counts, table(spark, sf_dir, "supplier").count())
 
 
+def _written(spark, sf_dir):
+    """Edges of decisions, written once, as traversals read them several times."""
+    return stable(_cites(spark, sf_dir))
+
+
 def _edges(spark, sf_dir):
     more = _cites_law(spark, sf_dir).select("src", F.concat(F.lit("L"), "dst").alias("dst"), "weight", "tf")
-    return G.typed(_cites(spark, sf_dir), G.CITES).unionByName(G.typed(more, G.CITES_LAW))
+    return stable(G.typed(_cites(spark, sf_dir), G.CITES).unionByName(G.typed(more, G.CITES_LAW)))
 
 
 def _nodes(spark, sf_dir):
@@ -39,8 +45,9 @@ def _nodes(spark, sf_dir):
     return cases.unionByName(more).unionByName(laws)
 
 
-def _seeds(spark, sf_dir, every=300, letter="P"):
-    return table(spark, sf_dir, "part").where(F.col("p_partkey") % every == 1).select(_ID("p_partkey", letter).alias("seed"))
+def _seeds(spark, sf_dir, letter="P"):
+    """Every part whose key is divisible by 20."""
+    return table(spark, sf_dir, "part").where("p_partkey % 20 = 0").select(_ID("p_partkey", letter).alias("seed"))
 
 
 def q_case_edges(spark, sf_dir):
@@ -52,11 +59,11 @@ def q_law_edges(spark, sf_dir):
 
 
 def q_neighbors(spark, sf_dir):
-    return G.neighbours(_seeds(spark, sf_dir), _cites(spark, sf_dir), 20).select("seed", "rank", "case_id", "distance", F.round("score", 6).alias("score"))
+    return G.neighbours(_seeds(spark, sf_dir), _written(spark, sf_dir), 20).select("seed", "rank", "case_id", "distance", F.round("score", 6).alias("score"))
 
 
 def q_neighbors_one_hop(spark, sf_dir):
-    return G.neighbours(_seeds(spark, sf_dir), _cites(spark, sf_dir), 20, 1).select("seed", "rank", "case_id", "distance", F.round("score", 6).alias("score"))
+    return G.neighbours(_seeds(spark, sf_dir), _written(spark, sf_dir), 20, 1).select("seed", "rank", "case_id", "distance", F.round("score", 6).alias("score"))
 
 
 def q_citing_cited(spark, sf_dir):
@@ -66,7 +73,7 @@ def q_citing_cited(spark, sf_dir):
 
 
 def q_cited_laws(spark, sf_dir):
-    seeds = table(spark, sf_dir, "supplier").where("s_suppkey % 10 = 1").select(_ID("s_suppkey", "S").alias("seed"))
+    seeds = table(spark, sf_dir, "supplier").where("s_suppkey % 20 = 0").select(_ID("s_suppkey", "S").alias("seed"))
     return G.linked(seeds, _edges(spark, sf_dir), _nodes(spark, sf_dir), "out", "Law")
 
 
@@ -85,7 +92,7 @@ def q_explored_text(spark, sf_dir):
 
 
 def q_cocitation(spark, sf_dir):
-    return G.cocited(_seeds(spark, sf_dir), _cites(spark, sf_dir), 20)
+    return G.cocited(_seeds(spark, sf_dir), _written(spark, sf_dir), 20)
 
 
 def q_graph_stats(spark, sf_dir):
@@ -108,10 +115,10 @@ def q_upsert(spark, sf_dir):
 
 def q_upsert_edges(spark, sf_dir):
     """Edges whose ends exist among half of the parts replace those of the other table."""
-    old = G.typed(_cites(spark, sf_dir), G.CITES).where("tf = 1")
+    old = stable(G.typed(_cites(spark, sf_dir), G.CITES))
     new = old.select("src", "dst", "src_label", "dst_label", "rel_type", (F.col("weight") + 1).alias("weight"), (F.col("tf") + 1).alias("tf"))
     nodes = _nodes(spark, sf_dir).where("volume % 2 = 0")
-    return G.upsert_edges(old, new, nodes)[0].groupBy("rel_type", "tf").agg(F.count("*").alias("n"), F.round(F.sum("weight"), 4).alias("weight"))
+    return rounded(G.upsert_edges(old, new, nodes)[0].select("src", "dst", "rel_type", "weight", "tf"), "weight")
 
 
 def q_group_case_text(spark, sf_dir):
@@ -122,9 +129,9 @@ def q_group_case_text(spark, sf_dir):
 def q_graph_search(spark, sf_dir):
     """Queries that name a part as a decision; documents are parts."""
     number = lambda c: F.concat(F.lit("BGE "), (c.cast("long") % 90 + 1).cast("string"), F.lit(" II "), c)
-    edges = _cites(spark, sf_dir).select(number(F.substring("src", 2, 20)).alias("src"), number(F.substring("dst", 2, 20)).alias("dst"), "weight", "tf")
+    edges = _written(spark, sf_dir).select(number(F.substring("src", 2, 20)).alias("src"), number(F.substring("dst", 2, 20)).alias("dst"), "weight", "tf")
     docs = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("ord"), number(F.col("p_partkey").cast("string")).alias("citation"), F.col("p_name").alias("text"))
-    queries = docs.where("ord % 300 = 1").select(F.col("ord").alias("query_id"), F.concat(F.lit("siehe "), "citation", F.lit(" E. 3")).alias("query"))
+    queries = docs.where("ord % 20 = 0").select(F.col("ord").alias("query_id"), F.concat(F.lit("siehe "), "citation", F.lit(" E. 3")).alias("query"))
     found = G.search(queries, edges, docs, 10)
     return found.select("query_id", "rank", "case_id", "distance", F.round("score", 6).alias("score"), F.col("doc.text").alias("text"))
 
@@ -144,7 +151,7 @@ edges AS MATERIALIZED (SELECT src, dst, 'Case' AS src_label, 'Case' AS dst_label
   UNION ALL SELECT src, 'L' || dst, 'Case', 'Law', 'CITES_LAW', weight, tf FROM cites_law),
 nodes AS (SELECT 'P' || p_partkey AS id, 'Case' AS label, nullif(p_size, 7) AS volume, p_name AS text FROM part
   UNION ALL SELECT 'S' || s_suppkey, 'Case', NULL, s_name FROM supplier UNION ALL SELECT 'LP' || p_partkey, 'Law', NULL, NULL FROM part)"""
-_SEEDS = "seeds AS (SELECT 'P' || p_partkey AS seed FROM part WHERE p_partkey % 300 = 1)"
+_SEEDS = "seeds AS (SELECT 'P' || p_partkey AS seed FROM part WHERE p_partkey % 20 = 0)"
 
 
 def _near(hops: int) -> str:
@@ -180,21 +187,21 @@ SELECT seed, rank, id, direction FROM ranked WHERE rank <= 100""",
     ),
     "q_cited_laws": ints(
         f"""WITH {_GRAPH},
-found AS (SELECT DISTINCT src AS seed, dst AS id FROM edges WHERE rel_type = 'CITES_LAW' AND CAST(substr(src, 2) AS BIGINT) % 10 = 1),
+found AS (SELECT DISTINCT src AS seed, dst AS id FROM edges WHERE rel_type = 'CITES_LAW' AND CAST(substr(src, 2) AS BIGINT) % 20 = 0),
 ranked AS (SELECT seed, id, row_number() OVER (PARTITION BY seed ORDER BY id) AS rank FROM found)
 SELECT seed, rank, id FROM ranked WHERE rank <= 100""",
         "rank",
     ),
     "q_top_citing_law": ints(
         f"""WITH {_GRAPH},
-seeds AS (SELECT 'LP' || p_partkey AS seed FROM part WHERE p_partkey % 300 = 1),
+seeds AS (SELECT 'LP' || p_partkey AS seed FROM part WHERE p_partkey % 20 = 0),
 ranked AS (SELECT seed, src, weight, row_number() OVER (PARTITION BY seed ORDER BY weight DESC, src) AS rank FROM seeds JOIN edges ON dst = seed AND rel_type = 'CITES_LAW')
 SELECT seed, rank, src AS id, weight, text FROM ranked LEFT JOIN nodes n ON n.id = src AND label = 'Case' WHERE rank <= 10""",
         "rank",
     ),
     "q_top_in_out": ints(
         f"""WITH {_GRAPH},
-seeds AS (SELECT 'P' || p_partkey AS seed FROM part WHERE p_partkey % 300 = 1 UNION ALL SELECT 'LP' || p_partkey FROM part WHERE p_partkey % 300 = 1), {_EXPLORE.format(k=5)}
+seeds AS (SELECT 'P' || p_partkey AS seed FROM part WHERE p_partkey % 20 = 0 UNION ALL SELECT 'LP' || p_partkey FROM part WHERE p_partkey % 20 = 0), {_EXPLORE.format(k=5)}
 SELECT * FROM shown""",
         "rank",
     ),
@@ -225,10 +232,10 @@ SELECT p_partkey AS id, CASE WHEN p_partkey % 2 = 0 THEN NULL ELSE p_name END AS
 FROM part WHERE p_partkey % 3 <> 0 OR p_partkey % 2 = 0
 """,
     "q_upsert_edges": f"""WITH {_GRAPH},
-old AS (SELECT * FROM edges WHERE rel_type = 'CITES' AND tf = 1),
+old AS (SELECT * FROM edges WHERE rel_type = 'CITES'),
 known AS (SELECT id FROM nodes WHERE volume % 2 = 0),
-made AS (SELECT rel_type, CASE WHEN hit THEN weight + 1 ELSE weight END AS weight, CASE WHEN hit THEN tf + 1 ELSE tf END AS tf FROM (SELECT *, src IN (SELECT id FROM known) AND dst IN (SELECT id FROM known) AS hit FROM old))
-SELECT rel_type, tf, count(*) AS n, round(sum(weight), 4) AS weight FROM made GROUP BY ALL""",
+made AS (SELECT src, dst, rel_type, CASE WHEN hit THEN weight + 1 ELSE weight END AS weight, CASE WHEN hit THEN tf + 1 ELSE tf END AS tf FROM (SELECT *, src IN (SELECT id FROM known) AND dst IN (SELECT id FROM known) AS hit FROM old))
+SELECT src, dst, rel_type, round(weight, 6) AS weight, tf FROM made""",
     "q_group_case_text": "SELECT conv_id, md5(t) AS digest, CAST(length(t) AS INTEGER) AS n FROM (SELECT conv_id, string_agg(coalesce(text, ''), chr(10) || chr(10) ORDER BY turn, text) AS t FROM conversations GROUP BY conv_id)",
     "q_graph_search": ints(
         "WITH near AS ("

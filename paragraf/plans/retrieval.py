@@ -46,25 +46,23 @@ def q_bm25_threshold(spark, sf_dir):
 
 
 def q_loosen_query(spark, sf_dir):
-    """Every item's text is answered; odd ones are made unanswerable but for what loosening leaves."""
-    index = _index(spark, sf_dir)
-    words = F.filter(F.split("query", r"\s+"), lambda x: F.rlike(x, F.lit("^[a-z]{5,}$")))
-    asked = _queries(spark, sf_dir).select("query_id", F.when(F.col("query_id") % 2 == 0, F.element_at(words, 1)).otherwise(F.concat(F.lit("zqzqzq "), F.lit("Zqzq"))).alias("query"))
+    """Every item's whole text, odd ones with an abbreviation at the end."""
+    asked = _queries(spark, sf_dir).select("query_id", F.when(F.col("query_id") % 2 == 0, F.col("query")).otherwise(F.concat("query", F.lit(" Zqzq"))).alias("query"))
     asked = asked.unionByName(_queries(spark, sf_dir).select((F.col("query_id") + 100_000).alias("query_id"), F.lit("Art. 6a Abs. 3 BankG").alias("query")))
     return asked.select("query_id", fusion.loosen("query").alias("loosened"))
 
 
 def q_tool_search(spark, sf_dir):
-    """Queries whose only known word is followed by an unknown abbreviation: the second try finds what the first, with its high threshold, did not."""
+    """Whole texts with an unknown abbreviation at the end; every third one is an unknown word and one known term, whose second try, without the last word, finds nothing either."""
     index = _index(spark, sf_dir)
-    asked = _queries(spark, sf_dir).select("query_id", F.concat_ws(" ", F.substring("query", 1, 80), F.lit("X"), F.lit("ZqG")).alias("query"))
+    asked = _queries(spark, sf_dir).select("query_id", F.concat_ws(" ", F.when(F.col("query_id") % 3 == 0, F.lit("zqzqzq")).otherwise(F.col("query")), F.lit("X"), F.lit("ZqG")).alias("query"))
     found = fusion.tool_search(asked, lambda q, k: bm25.search(q, index, k), threshold=12.0)
     return rounded(found.select("query_id", "rank", "doc_id", "score", "loosened"), "score")
 
 
 def q_dense_topk(spark, sf_dir):
     vectors = table(spark, sf_dir, "embeddings")
-    queries = vectors.where(F.col("vec_id") % 50 == 0)
+    queries = vectors.where(F.col("vec_id") % 20 == 0)
     return rounded(dense.search(queries, vectors, 10, "vec_id", "embedding", "vec_id", "embedding"), "score")
 
 
@@ -155,18 +153,18 @@ SQL = {
     "q_bm25_threshold": _scored(_ITEMS) + "SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS rank, doc_id, round(score, 6) AS score FROM hits WHERE rank <= 50 AND score >= 20 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY rank) <= 10",
     "q_loosen_query": r"""
 WITH asked AS (
-  SELECT item_id AS query_id, CASE WHEN item_id % 2 = 0 THEN list_filter(regexp_split_to_array(text, '\s+'), lambda x: regexp_full_match(x, '[a-z]{5,}'))[1] ELSE 'zqzqzq Zqzq' END AS query FROM benchmark
+  SELECT item_id AS query_id, CASE WHEN item_id % 2 = 0 THEN text ELSE text || ' Zqzq' END AS query FROM benchmark
   UNION ALL SELECT item_id + 100000, 'Art. 6a Abs. 3 BankG' FROM benchmark)
 SELECT query_id, nullif(trim(regexp_extract(trim(coalesce(query, '')), '^(.+\S)\s+([A-Z][A-Za-z0-9äöüÄÖÜ]*)$', 1)), '') AS loosened FROM asked
 """,
     "q_tool_search": f"""
-WITH first_try AS ({_scored("SELECT item_id AS query_id, substr(text, 1, 80) || ' X ZqG' AS query FROM benchmark")} SELECT * FROM hits WHERE rank <= 50 AND score >= 12),
-second_try AS ({_scored("SELECT item_id AS query_id, substr(text, 1, 80) || ' X' AS query FROM benchmark")} SELECT * FROM hits WHERE rank <= 50 AND score >= 12),
+WITH first_try AS ({_scored("SELECT item_id AS query_id, CASE WHEN item_id % 3 = 0 THEN 'zqzqzq' ELSE text END || ' X ZqG' AS query FROM benchmark")} SELECT * FROM hits WHERE rank <= 50 AND score >= 12),
+second_try AS ({_scored("SELECT item_id AS query_id, CASE WHEN item_id % 3 = 0 THEN 'zqzqzq' ELSE text END || ' X' AS query FROM benchmark")} SELECT * FROM hits WHERE rank <= 50 AND score >= 12),
 both_tries AS (SELECT *, false AS loosened FROM first_try UNION ALL SELECT *, true FROM second_try WHERE query_id NOT IN (SELECT query_id FROM first_try))
 SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS rank, doc_id, round(score, 6) AS score, loosened FROM both_tries
 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY rank) <= 10
 """,
-    "q_dense_topk": f"WITH {_DENSE.format(where='vec_id % 50 = 0')} SELECT query_id, rank, doc_id, round(score, 6) AS score FROM near WHERE rank <= 10",
+    "q_dense_topk": f"WITH {_DENSE.format(where='vec_id % 20 = 0')} SELECT query_id, rank, doc_id, round(score, 6) AS score FROM near WHERE rank <= 10",
     "q_l2_normalize": """
 WITH v AS (SELECT vec_id, list_transform(embedding::DOUBLE[], lambda x: x * (vec_id % 7 + 1)) AS vec FROM embeddings),
 n AS (SELECT vec_id, vec, sqrt(list_sum(list_transform(vec, lambda x: x * x))) AS norm FROM v)

@@ -30,15 +30,25 @@ def ordinal(df: DataFrame, name: str = "ord") -> DataFrame:
 
 
 def read_csv(spark: SparkSession, path: str, schema: str, multiline: bool = True) -> DataFrame:
-    """A headed CSV file, by header names whatever their order; columns of the schema that the file lacks are null."""
+    """A headed CSV file, by header names whatever their order; columns of the schema that the file lacks are null.
+
+    Quoted fields with line breaks need `multiline`, with which Spark reads a file in one task; without it
+    large files are split. `convert` writes a corpus once as Parquet, which is split in any case.
+    """
     wanted = T._parse_datatype_string(schema)
     raw = spark.read.option("header", True).option("multiLine", multiline).option("quote", '"').option("escape", '"').option("encoding", "utf-8").csv(path)
     return ordinal(raw.select(*[(F.col(f"`{f.name}`") if f.name in raw.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in wanted.fields]))
 
 
-def read_corpus_csv(spark: SparkSession, path: str, max_rows: int | None = None) -> DataFrame:
+def convert(spark: SparkSession, csv_path: str, path: str, schema: str = LAWS) -> DataFrame:
+    """A CSV corpus as Parquet, in file order."""
+    read_csv(spark, csv_path, schema).write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
+def read_corpus_csv(spark: SparkSession, path: str, max_rows: int | None = None, multiline: bool = True) -> DataFrame:
     """A corpus with empty texts for null ones; max_rows None or 0 is all."""
-    rows = read_csv(spark, path, LAWS)
+    rows = read_csv(spark, path, LAWS, multiline)
     rows = rows.select("ord", *[F.coalesce(c, F.lit("")).alias(c) for c in ("citation", "text", "title")])
     return rows.orderBy("ord").limit(max_rows) if max_rows else rows
 
@@ -80,6 +90,12 @@ def read_abbreviations(spark: SparkSession, path: str) -> DataFrame:
     return ordinal(rows.select("id", "abbrev.*"))
 
 
+def write_log(log: DataFrame, path: str) -> None:
+    """A run's log as CSV, arrays and structs as JSON."""
+    flat = [F.to_json(c).alias(c) if kind.startswith(("array", "struct", "map")) else F.col(c) for c, kind in log.dtypes]
+    write_csv(log.select(*flat), path)
+
+
 def first_path(spark: SparkSession, *paths: str) -> str | None:
     """The first path that exists, by Spark's own file systems."""
     jvm = spark._jvm

@@ -1,6 +1,7 @@
 import math
 
 import pytest
+from pyspark.sql import functions as F
 
 from paragraf.operators import graph
 
@@ -24,6 +25,24 @@ def test_cases(corpora):
     assert graph.cases(corpora[0], max_rows=2).count() == 2
 
 
+def test_max_rows_over_partitions(spark):
+    from paragraf import sources
+
+    rows = sources.ordinal(spark.range(1000).repartition(8).select(F.concat(F.lit("BGE 1 I "), F.col("id").cast("string")).alias("citation"), F.lit("t").alias("text"), F.lit("").alias("title")))
+    assert rows.agg(F.max("ord")).first()[0] > 1000  # not dense
+    assert graph.cases(rows, max_rows=500).count() == graph.laws(rows, max_rows=500).count() == 500 and graph.cases(rows, max_rows=0).count() == 1000
+    least = {r.citation for r in rows.orderBy("ord").limit(500).collect()}
+    assert {r.id for r in graph.cases(rows, max_rows=500).collect()} == least
+
+
+def test_clear_and_catalogue(corpora):
+    built = graph.build(*corpora)
+    left = graph.clear(built, "Law")
+    assert rows(left.edges.groupBy("rel_type").count(), "rel_type", "count") == [("CITES", 2)] and left.nodes.where("label = 'Law'").isEmpty()
+    assert graph.clear(built).nodes.isEmpty() and graph.clear(built).edges.isEmpty()
+    assert ("edge", "weight", "double") in rows(graph.schema_info(built.nodes, built.edges), "kind", "name", "type")
+
+
 def test_laws(corpora):
     got = {r.id: (r.text, r.title, r.sr_number, r.book) for r in graph.laws(corpora[1]).collect()}
     assert got == {"Art. 1 220": ("Art. 1 220 und Art. 2 ZGB; BGE 100 I 1\n\nmehr", "T1", "220", None), "Art. 2 ZGB": ("", "", None, None)}
