@@ -111,3 +111,56 @@ def test_sources(spark, tmp_path):
     (tmp_path / "a.json").write_text('[{"id":"x","abbrev":{"de":"OR","fr":"CO"}},{"id":"y","abbrev":{"de":null}}]')
     assert [(r.id, r.de, r.it) for r in sources.read_abbreviations(spark, str(tmp_path / "a.json")).orderBy("ord").collect()] == [("x", "OR", None), ("y", None, None)]
     assert sources.first_path(spark, str(tmp_path / "none"), str(tmp_path / "a.json")).endswith("a.json")
+
+
+def test_tool_calling_agent(spark):
+    import json
+
+    from paragraf.operators import toolcalls
+
+    docs = spark.createDataFrame([(0, "BGE 1 I 2 E. 1", "Dazu Art. 5 OR und Art. 6 ZGB."), (1, "Art. 9 OR", "nichts")], "doc_id int, citation string, text string")
+
+    def find(queries, k):
+        return queries.where("query <> 'leer'").select("query_id", F.lit(1).alias("rank"), F.when(F.col("query") == "gericht", 0).otherwise(1).alias("doc_id"), F.lit(1.0).alias("score"))
+
+    kind = "src string, dst string, src_label string, dst_label string, rel_type string, weight double, tf int"
+    edges = spark.createDataFrame([("BGE 1 I 2", "BGE 7 I 7", "Case", "Case", "CITES", 1.5, 1)], kind)
+    nodes = spark.createDataFrame([("BGE 1 I 2", "Case", "a"), ("BGE 7 I 7", "Case", "b")], "id string, label string, text string")
+    tools = {"search_courts": toolcalls.search_tool(find, docs, "courts", in_texts=True), "search_laws": toolcalls.search_tool(find, docs), "explore": toolcalls.explore_tool(edges, nodes)}
+
+    def model(prompts):
+        def one(p):
+            if "Observation" in p:
+                return {"text": "Am Ende BGE 3 II 4 und Art. 1 OR", "calls": []}
+            if p.startswith("a"):
+                return {"calls": [{"name": "search_courts", "arguments": {"query": "gericht"}}, {"name": "explore", "arguments": {"citation_id": "BGE 1 I 2"}}, {"name": "fly", "arguments": {}}]}
+            return {"calls": [{"name": "search_laws", "arguments": {"query": "recht" if p == "b" else "leer"}}]}
+
+        if any(p == "broken" for p in prompts):
+            raise RuntimeError
+        return [json.dumps(one(p)) for p in prompts]
+
+    def judge(prompts):
+        return ["NEIN" if "Art. 6 ZGB\n" in p or "\nArt. 1 OR" in p else "JA" for p in prompts]
+
+    queries = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "query_id int, query string")
+    found, log = toolcalls.run(queries, model, tools, judge)
+    got = {}
+    for r in found.collect():
+        got.setdefault(r.query_id, set()).add(r.citation)
+    assert got == {1: {"BGE 1 I 2 E. 1", "Art. 5 OR", "BGE 7 I 7", "BGE 3 II 4"}, 2: {"Art. 9 OR", "BGE 3 II 4"}, 3: {"BGE 3 II 4"}}
+    acts = sorted((r.query_id, r.iteration, r.action) for r in log.collect())
+    assert acts == [(1, 1, "explore"), (1, 1, "fly"), (1, 1, "search_courts"), (1, 2, "final"), (2, 1, "search_laws"), (2, 2, "final"), (3, 1, "search_laws"), (3, 2, "final")]
+    assert "No relevant" in log.where("query_id = 3 and iteration = 1").first().observation and "BGE 7 I 7" in log.where("action = 'explore'").first().observation
+    broken, _ = toolcalls.run(spark.createDataFrame([(1, "broken")], "query_id int, query string"), model, tools, judge)
+    assert broken.isEmpty()
+
+
+def test_log_files(spark, tmp_path):
+    log = spark.createDataFrame([(1, 2.0, ["a"], 3), (2, None, None, 1)], "query_id int, seconds double, citations array<string>, iterations int")
+    assert corpus.log_summary(log).first().asDict() == {"queries": 2, "seconds_mean": 1.0, "seconds_total": 2.0, "citations_mean": 0.5, "iterations_mean": 2.0}
+    sources.write_log(log, str(tmp_path / "l"))
+    back = spark.read.option("header", True).option("escape", '"').csv(str(tmp_path / "l"))
+    assert {r.citations for r in back.collect()} == {'["a"]', None}
+    (tmp_path / "c.csv").write_text("citation,text,title\nA,b,c\n")
+    assert sources.convert(spark, str(tmp_path / "c.csv"), str(tmp_path / "p")).first().text == "b"
