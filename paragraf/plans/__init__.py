@@ -7,7 +7,7 @@ from importlib import import_module
 
 from ..session import ready
 
-MODULES = ("retrieval", "graph", "evaluation", "citations", "corpus", "storage")
+MODULES = ("retrieval", "graph", "evaluation", "citations", "corpus", "storage", "tools")
 
 
 def queries() -> dict:

@@ -119,7 +119,7 @@ def q_case_citations(spark, sf_dir):
 
 
 def q_cited_with_context(spark, sf_dir):
-    rows = _texts(spark, sf_dir).select(F.concat(F.lit("O"), F.col("o_orderkey").cast("string")).alias("citation"), F.when(F.col("o_orderkey") % 10 == 0, "form").otherwise(F.col("text")).alias("text"))
+    rows = _texts(spark, sf_dir).select(F.concat(F.lit("O"), F.col("o_orderkey").cast("string")).alias("citation"), F.when(F.col("o_orderkey") % 10 == 0, F.col("form")).otherwise(F.col("text")).alias("text"))
     return C.cited_with_context(rows)
 
 
@@ -228,3 +228,12 @@ SQL |= {
     "q_extract_all": f"{_EXTRACTED} SELECT o_orderkey, raw, type, canonical, position FROM firsts WHERE k = 1 AND NOT regexp_full_match(raw, 'Art. .* Abs. . OR')",
     "q_case_citations": f"{_EXTRACTED} SELECT o_orderkey, string_agg(canonical, '|' ORDER BY canonical) AS cases FROM firsts WHERE k = 1 AND type <> 'Art.' GROUP BY o_orderkey",
 }
+_PIECES = " UNION ALL ".join(f"SELECT s, text, unnest({_all(p)}) AS x FROM src" for p in C.CONTEXT_KINDS)
+SQL["q_cited_with_context"] = rf"""WITH {_TEXTS},
+src AS (SELECT 'O' || o_orderkey AS s, regexp_replace(CASE WHEN o_orderkey % 10 = 0 THEN form ELSE text END, '^\s+|\s+$', '', 'g') AS text FROM texts),
+hits AS (SELECT DISTINCT s, text, {_FLAT('x')} AS cite, instr(text, x) - 1 AS pos FROM ({_PIECES})),
+w AS (SELECT s, cite, pos, pos - greatest(0, pos - 80) AS back, substr(text, greatest(0, pos - 80) + 1, least(length(text), pos + length(cite) + 200) - greatest(0, pos - 80)) AS c FROM hits),
+x AS (SELECT *, instr(substr(c, 1, least(length(c), back + 50)), '. ') AS dot, instr(substr(c, 1, least(length(c), back + 50)), '). ') AS br FROM w),
+y AS (SELECT s, cite, pos, CASE WHEN dot > 0 THEN regexp_replace(substr(c, dot + 2), '^\s+', '') WHEN br > 0 THEN regexp_replace(substr(c, br + 3), '^\s+', '') ELSE c END AS c FROM x)
+SELECT s AS source_citation, cite AS cited_citation, regexp_replace(replace(c, chr(10), ' '), '^\s+|\s+$', '', 'g') AS summary, CAST(pos AS INTEGER) AS position FROM y
+UNION ALL SELECT s, s, text, NULL FROM src WHERE s NOT IN (SELECT s FROM hits)"""

@@ -131,3 +131,8 @@ SELECT * FROM (SELECT round(avg(p), 6) AS macro_precision, round(avg(r), 6) AS m
     "q_competition": f"""WITH {_SIDES.replace("queries AS (SELECT DISTINCT o_orderkey AS query_id FROM orders)", "queries AS (SELECT DISTINCT o_orderkey AS query_id FROM orders WHERE o_orderkey % 3 <> 0 AND o_orderkey % 5 <> 0)")}, {_COUNTS}
 SELECT round(avg(CASE WHEN n_pred = 0 AND n_gold = 0 THEN 1 WHEN tp = 0 THEN 0 ELSE 2.0::DOUBLE * tp / (n_pred + n_gold) END), 6) AS score FROM counts""",
 }
+SQL["q_validate"] = """
+WITH again AS (SELECT l_orderkey FROM lineitem GROUP BY l_orderkey HAVING count(*) > 1 ORDER BY l_orderkey LIMIT 5)
+SELECT 0 AS n, 'repeated query_ids: [' || (SELECT string_agg(l_orderkey, ', ' ORDER BY l_orderkey) FROM again) || ']' AS error
+UNION ALL SELECT 1, 'citations that can''t be read: [''Art. 1 QQ'', ''Art. 1 QQ'', ''Art. 1 QQ'']'
+"""
