@@ -38,7 +38,7 @@ from . import common
 
 WIDTH, KEY_BYTES = 20, 9
 #: Bytes of text in a chunk, and windows in a bucket, both on average.
-CHUNK_BYTES, BUCKET_WINDOWS = 8 << 20, 1 << 20
+CHUNK_BYTES, BUCKET_WINDOWS = 6 << 20, 1 << 20
 #: Rows that a chunk sends at most, chunks of a block, and bounds of ranges of ids that are a constant of the plan.
 MOST_BUCKETS, BLOCK_CHUNKS, MOST_BOUNDS = 1 << 14, 64, 1 << 16
 #: Second bounds are broadcast only if there are at most so many.
@@ -60,22 +60,24 @@ class _WordHashes(dict):
 
 def rolling(words: np.ndarray, width: int, base: int) -> np.ndarray:
     """Polynomial hash modulo 2**64 of every window of `width` numbers, by doubling."""
-    powers, sums, size = {1: base}, {1: words}, 1
+    whole, done, part, size, power = None, 0, words, 1, base
     with np.errstate(over="ignore"):
-        while 2 * size <= width:
-            powers[2 * size] = powers[size] * powers[size] & (2**64 - 1)
-            sums[2 * size] = sums[size][:-size] * np.uint64(powers[size]) + sums[size][size:]
+        while True:
+            # windows grow to the left by those of a power of two that the width holds
+            if width & size:
+                more = part[width - done - size :] if done + size < width else part
+                more = more[: len(words) - width + 1]
+                if whole is None:
+                    whole, shift = more.copy(), power
+                else:
+                    whole += more * np.uint64(shift)
+                    shift = shift * power & (2**64 - 1)
+                done += size
+            if 2 * size > width:
+                return whole
+            part = part[:-size] * np.uint64(power) + part[size:]
+            power = power * power & (2**64 - 1)
             size *= 2
-        whole, done = None, 0
-        for n in sorted(sums, reverse=True):
-            if done + n > width:
-                continue
-            part = sums[n][done:]
-            whole = part if whole is None else whole[: len(part)] * np.uint64(powers[n]) + part
-            done += n
-            if done == width:
-                break
-    return whole[: len(words) - width + 1]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -125,18 +127,18 @@ class Chunk:
     def __init__(self, ids: list, texts: list, width: int):
         self.order = in_order(ids, texts)
         self.ids, self.texts = [ids[k] for k in self.order], [texts[k] or "" for k in self.order]
-        self.words: list[list[bytes]] = [t.encode().split() for t in self.texts]
-        self.sizes = np.array([len(w) for w in self.words], np.int64)
-        self.ends = np.cumsum(self.sizes)
         self.width = width
-        self._windows()
-
-    def _windows(self) -> None:
-        total = int(self.ends[-1]) if len(self.ends) else 0
-        known, hashes, at = _WordHashes(), np.empty(total, np.uint64), 0
-        for words in self.words:
-            hashes[at : at + len(words)] = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-            at += len(words)
+        known, hashes = _WordHashes(), []  # words themselves are not kept: they take ten times the space of the text
+        for text in self.texts:
+            words = text.encode().split()
+            hashes.append(np.fromiter(map(known.__getitem__, words), np.uint64, len(words)))
+        self.sizes = np.array([len(h) for h in hashes], np.int64)
+        self.ends = np.cumsum(self.sizes)
+        del known
+        self._windows(np.concatenate(hashes) if hashes else np.empty(0, np.uint64))
+
+    def _windows(self, hashes: np.ndarray) -> None:
+        total = len(hashes)
         if total < self.width:
             self.starts, self.high, self.low = (np.empty(0, t) for t in (np.int64, np.uint64, np.uint64))
             return
@@ -306,13 +308,13 @@ def remove(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
             if not mask.any():
                 removed.append(0)
                 intervals.append([])
-                kept.append(texts[chunk.order[k]] if untouched else b" ".join(chunk.words[k]).decode())
+                kept.append(texts[chunk.order[k]] if untouched else b" ".join(chunk.texts[k].encode().split()).decode())
                 continue
             edge = np.flatnonzero(np.diff(np.concatenate(([0], mask.astype(np.int8), [0]))))
             spans = list(zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True))
             removed.append(int(mask.sum()))
             intervals.append([{"start": a, "stop": b} for a, b in spans])
-            kept.append(b" ".join([w for w, g in zip(chunk.words[k], mask.tolist(), strict=True) if not g]).decode())
+            kept.append(b" ".join([w for w, g in zip(chunk.texts[k].encode().split(), mask.tolist(), strict=True) if not g]).decode())
         span = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
         columns = [pa.array(chunk.ids, pa.int64()), pa.array(chunk.sizes), pa.array(removed, pa.int64()), pa.array(intervals, span), pa.array(kept, pa.string())]
         columns += [pa.array([carried[n][k] for k in chunk.order], pa.string()) for n in names[2:]]
