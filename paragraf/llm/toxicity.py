@@ -248,7 +248,7 @@ def _candidates(sample: DataFrame) -> list[str]:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for text in common.python_strings(batch.column(0)):
+            for text in (x or "" for k in range(0, batch.num_rows, 512) for x in batch.column(0).slice(k, 512).to_pylist()):
                 tokens = [t for t in text_tokens(text) if t[0].isalnum()]
                 pairs = {(t, b) for a, b in zip(tokens, [*tokens[1:], ""], strict=False) for t in terms_of({a})}
                 yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in pairs], pa.string()), pa.array([xxhash.xxh32_intdigest(b) for _, b in pairs], pa.int64())], ["term", "context"])
