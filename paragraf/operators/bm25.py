@@ -24,6 +24,8 @@ K1, B, EPSILON = 1.5, 0.75, 0.25
 #: Query terms are broadcast only if counting shows at most this many rows.
 BROADCAST_ROWS = 1_000_000
 DOC = "__doc"
+#: Sizes that plans give for what they do not know are beyond this many bytes.
+UNKNOWN = 1 << 50
 
 
 @dataclass
@@ -79,9 +81,12 @@ def build(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", token
 
 
 def tasks_for(docs: DataFrame, bytes_each: int = 64 << 20) -> int:
-    """Partitions of postings: all cores, and no more than about `bytes_each` of the input's files in one."""
+    """Partitions of postings: all cores, and no more than about `bytes_each` of the input's files in one; where the plan does not know its size, as many as shuffles have."""
+    spark = docs.sparkSession
     size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return max(docs.sparkSession.sparkContext.defaultParallelism, min(-(-size // bytes_each), 100_000))
+    if size >= UNKNOWN:
+        return int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return max(spark.sparkContext.defaultParallelism, -(-size // bytes_each))
 
 
 #: What says that there is no index, or one that can't be read; all else, as a refused permission, is an error.
