@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("simhash", "bpe", "fingerprints", "token_counts", "packing", "url_filter", "chat", "neighbours", "substring", "toxicity", "mixing", "whitening")
+MODULES = ("simhash", "bpe", "fingerprints", "token_counts", "packing", "url_filter", "chat", "neighbours", "substring", "toxicity", "alignment", "mixing", "whitening")
 
 
 def queries() -> dict:

@@ -80,8 +80,11 @@ def pieces_of(n: int, length: int = LENGTH) -> Iterable[tuple[int, int, int]]:
 
 
 @lru_cache(maxsize=2)
-def fast_encoder(path: str):
-    """The vocabulary in two libraries: one is fast, the other is the yardstick, and used where their character tables may differ."""
+def fast_encoder(path: str, plain_special: bool = False):
+    """The vocabulary in two libraries: one is fast, the other is the yardstick, and used where their character tables may differ.
+
+    plain_special: strings of special tokens in a text are plain text.
+    """
     import re
 
     import public_tokenizers
@@ -92,6 +95,7 @@ def fast_encoder(path: str):
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     slow = Tokenizer.from_file(path)
+    slow.encode_special_tokens = plain_special
     alphabet, special = byte_alphabet(), {}
     ranks = {}
     for token, k in slow.get_vocab(with_added_tokens=True).items():
@@ -106,7 +110,7 @@ def fast_encoder(path: str):
     def encode(text: str) -> list[int]:
         if wide.search(text) or len(text) >= RUN and run.search(text):
             return slow.encode(text, add_special_tokens=False).ids
-        return fast.encode(text, allowed_special="all")
+        return fast.encode_ordinary(text) if plain_special else fast.encode(text, allowed_special="all")
 
     return encode
 
