@@ -5,6 +5,9 @@ bits of one integer, so the best fit (the least space that suffices) is a shift
 When one bin more than allowed would stand open, the fullest is closed. The pieces of a partition come
 in blocks of about as many pieces as bins may be open, longest first within a block.
 
+Pieces are dealt to tasks by a hash of id, piece, length and content and, among equal ones, of a running
+number within their input partition, so that neither null ids nor equal rows meet in one task.
+
 Nulls count as empty texts, which still have their end token and are packed. Repeated rows are packed
 each; null ids stay null; an empty table gives an empty result; other columns are neither read nor
 returned. A text of any length is cut into full pieces, its first one may be shorter. Texts with
@@ -123,15 +126,18 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabula
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = fast_encoder(path)
+        met: dict[tuple, int] = {}  # documents of this partition; equal ones alone are numbered, so the order of rows is of no matter
         for batch in batches:
             for k in range(0, batch.num_rows, 256):
                 part = batch.slice(k, 256)
                 rows: list[tuple] = []
                 for id_, text in zip(part.column(0).to_pylist(), common.python_strings(part.column(1)), strict=True):
                     ids = np.array([*encode(text), end_token], "<u4").tobytes()
-                    rows += [(id_, p, s, n, zlib.crc32(ids[4 * s : 4 * (s + n)])) for p, s, n in pieces_of(len(ids) // 4, length)]
-                names = ["id", "piece", "start", "length", "ids_crc32"]
-                kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
+                    alike = (id_, len(ids), zlib.crc32(ids))
+                    copy = met[alike] = met.get(alike, -1) + 1
+                    rows += [(id_, p, s, n, zlib.crc32(ids[4 * s : 4 * (s + n)]), copy) for p, s, n in pieces_of(len(ids) // 4, length)]
+                names = ["id", "piece", "start", "length", "ids_crc32", "copy"]
+                kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,12 +149,12 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabula
 
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     tasks = max(1, -(-df.count() // DOCUMENTS_PER_TASK))
-    cut_up = rows.mapInArrow(cut, "id long, piece int, start long, length long, ids_crc32 long")
+    cut_up = rows.mapInArrow(cut, "id long, piece int, start long, length long, ids_crc32 long, copy long")
     # A total order, so that a task that runs again packs alike; about open_bins pieces have one block number.
     blocks = max(1, DOCUMENTS_PER_TASK * 2 // open_bins)
-    mixed = F.xxhash64("id", "piece", F.lit(5))
+    mixed = F.xxhash64("id", "piece", "length", "ids_crc32", "copy", F.lit(5))
     dealt = cut_up.withColumn("block", F.pmod(F.shiftright(mixed, 20), F.lit(blocks))).repartition(tasks, mixed)
-    ordered = dealt.sortWithinPartitions("block", F.desc("length"), "id", "piece", "start", "ids_crc32")
+    ordered = dealt.drop("copy").sortWithinPartitions("block", F.desc("length"), "id", "piece", "start", "ids_crc32")
     return ordered.mapInArrow(place, "id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 

@@ -85,3 +85,24 @@ def test_edges(spark, docs):
     check(packing.pack(docs(list(long.items()))).collect(), long, 1024)
     assert len(packing.pack(docs([(1, "a"), (1, "a"), (None, "b")])).collect()) == 3
     assert packing.pack(docs([(1, "a")]).limit(0)).count() == 0
+
+
+def test_floods_are_dealt_evenly(spark, docs, monkeypatch):
+    """Half of all rows are equal, a third have null ids."""
+    monkeypatch.setattr(packing, "DOCUMENTS_PER_TASK", 500)
+    rows = [(None, "same text")] * 1000 + [(1, "one id")] * 1000 + [(k, f"text {k}") for k in range(2000)]
+    found = packing.pack(docs(rows).repartition(3)).collect()
+    assert len(found) == len(rows)
+    tasks = {}
+    for r in found:
+        tasks[r.sequence_id >> 40] = tasks.get(r.sequence_id >> 40, 0) + 1
+    assert len(tasks) == 8 and max(tasks.values()) <= 3 * sorted(tasks.values())[4]
+    sequences = {}
+    for r in found:
+        sequences.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for parts in sequences.values():
+        at = 0
+        for offset, n in sorted(parts):
+            assert offset == at
+            at += n
+        assert at <= 1024
