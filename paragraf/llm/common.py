@@ -9,7 +9,11 @@ from pyspark.sql import functions as F
 
 from ..session import ready, shared_folder, stable
 
-__all__ = ["bounds_below", "checkpoint", "constant", "fresh", "partitions", "place", "python_strings", "ready", "shared_folder", "table", "vocabulary"]
+__all__ = ["bounds_below", "checkpoint", "collapsed", "constant", "fresh", "partitions", "place", "python_strings", "ready", "shared_folder", "table", "vocabulary"]
+
+#: Keys of repeated rows are broadcast up to so many.
+BROADCAST_KEYS = 100_000
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A driver table; every query reads through Spark so that remote stores work."""
@@ -73,6 +77,26 @@ def place(bounds: Column, count: Column, key: Column, text: Column) -> Column:
     return F.when(low == high, low).otherwise(low + F.floor(part * (high - low + 1)).cast("int")).cast("int")
 
 
+def collapsed(rows: DataFrame, text: str = "text") -> DataFrame:
+    """The rows with equal ones as one, and `times`, their number.
+
+    Only rows that do occur several times are shuffled with their texts, and each task sends one of a kind;
+    which these are is found by the md5 of the text.
+    """
+    keys = [c for c in rows.columns if c != text]
+    marked = rows.withColumn("_mark", F.md5(F.col(text).cast("binary")))
+    found = checkpoint(marked.groupBy(*keys, "_mark").agg(F.count("*").alias("times")).where("times > 1"))
+    several = found.count()
+    if not several:
+        return rows.withColumn("times", F.lit(1).cast("long"))
+    known = found.select(*(F.col(c).alias(f"_k{n}") for n, c in enumerate([*keys, "_mark"])), "times")
+    alike = [F.col(c).eqNullSafe(F.col(f"_k{n}")) for n, c in enumerate([*keys, "_mark"])]
+    joined = marked.join(F.broadcast(known) if several <= BROADCAST_KEYS else known, alike, "left").select(*rows.columns, "_mark", "times")
+    once = joined.where("times is null").select(*rows.columns, F.lit(1).cast("long").alias("times"))
+    more = joined.where("times is not null").groupBy(*keys, "_mark").agg(F.min(text).alias(text), F.max("times").alias("times"))
+    return once.unionByName(more.select(*rows.columns, "times"))
+
+
 def python_strings(column) -> list[str]:
     """Texts of an Arrow column, null as empty."""
     return [x or "" for x in column.to_pylist()]

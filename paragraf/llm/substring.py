@@ -19,9 +19,10 @@ windows, a false match among n windows has odds of about n * 2**20 / 2**73 with
 1e-7 at a billion windows.
 
 "Earlier" is by id, then by start; rows with a null id come first; rows with the same id are ordered by
-the md5 of their text, by which chunks split an id that many rows share, and equal rows by their place.
-Null texts have no words. Texts are never cut short. Repeated rows come back each, the later ones with
-all windows removed; empty tables give empty results; columns other than id, text and those in `carry`
+the md5 of their text, by which chunks split an id that many rows share. Equal rows go through the chunks
+once, with their number, so that a flood of them isn't one chunk: all but the first lose every window, that
+is all words if there are `width` or more, and come back by that rule.
+Null texts have no words. Texts are never cut short. Repeated rows come back each; empty tables give empty results; columns other than id, text and those in `carry`
 are neither read nor returned, and results have names of their own, so none can clash.
 """
 
@@ -220,6 +221,15 @@ def chunked(rows: DataFrame, size: int, chunks: int, most_bounds: int = MOST_BOU
     return split.withColumn("chunk", F.col("chunk") * parts + common.place(F.col("inside"), F.size("inside"), key, F.col("text"))).drop("inside")
 
 
+def with_copies(found: DataFrame, width: int) -> DataFrame:
+    """Results of rows that stand for `times` equal ones, one a row: later ones lose all words if they have `width` of them."""
+    copy = found.withColumn("_copy", F.explode(F.expr("sequence(1L, times)")))
+    gone = (F.col("_copy") > 1) & (F.col("n_words") >= width)
+    whole = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n_words").alias("stop")))
+    made = {"n_removed": F.when(gone, F.col("n_words")).otherwise(F.col("n_removed")), "intervals": F.when(gone, whole).otherwise(F.col("intervals")), "kept_text": F.when(gone, F.lit("")).otherwise(F.col("kept_text"))}
+    return copy.select(*(made[c].alias(c) if c in made else F.col(c) for c in found.columns if c != "times"))
+
+
 def remove(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, key_bytes: int = KEY_BYTES, untouched: bool = False, carry: tuple[str, ...] = (), buckets: int | None = None, most_buckets: int = MOST_BUCKETS, chunks: int | None = None) -> DataFrame:
     """(id, n_words, n_removed, intervals, kept_text) per row, and the string columns named in `carry` as carried_0, ...
 
@@ -233,14 +243,15 @@ def remove(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
         raise ValueError("key_bytes is 8 to 12")
     spark = df.sparkSession
     parallel = 4 * spark.sparkContext.defaultParallelism
-    size = df.agg(F.sum(weight(text_col))).first()[0] or 0
+    names = ["id", "text", *(f"carried_{k}" for k in range(len(carry)))]
+    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), *(F.col(c).cast("string").alias(n) for c, n in zip(carry, names[2:], strict=True)))
+    rows = common.collapsed(rows)
+    size = rows.agg(F.sum(weight("text"))).first()[0] or 0
     chunks = chunks or max(parallel, -(-size // CHUNK_BYTES))
     buckets = buckets or max(parallel, -(-size // (6 * BUCKET_WINDOWS)))
     narrow_parts = -(-buckets // most_buckets)
     wide = -(-buckets // narrow_parts)
-    names = ["id", "text", *(f"carried_{k}" for k in range(len(carry)))]
-    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), *(F.col(c).cast("string").alias(n) for c, n in zip(carry, names[2:], strict=True)))
-    rows = chunked(rows, size, chunks).select("chunk", *names)
+    rows = chunked(rows, size, chunks).select("chunk", *names, "times")
     keys = Keys(key_bytes - 8)
 
     def table(columns: dict[str, tuple[pa.DataType, list]]) -> pa.Table:
@@ -318,7 +329,8 @@ def remove(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
         span = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
         columns = [pa.array(chunk.ids, pa.int64()), pa.array(chunk.sizes), pa.array(removed, pa.int64()), pa.array(intervals, span), pa.array(kept, pa.string())]
         columns += [pa.array([carried[n][k] for k in chunk.order], pa.string()) for n in names[2:]]
-        return pa.table(columns, names=["id", "n_words", "n_removed", "intervals", "kept_text", *names[2:]])
+        columns.append(table.column("times").take(pa.array(chunk.order, pa.int64())))
+        return pa.table(columns, names=["id", "n_words", "n_removed", "intervals", "kept_text", *names[2:], "times"])
 
     partitions = common.partitions(spark)
     dealt = rows.repartition(partitions, "chunk")
@@ -332,7 +344,8 @@ def remove(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
         inner = inner.select(F.floor(F.col("bucket") / narrow_parts).cast("long").alias("wide"), F.col("chunk").alias("block"), "bucket", "bits")
         answers = sent.groupBy("bucket", "block").cogroup(inner.repartition(partitions, "wide", "block").groupBy("wide", "block")).applyInArrow(widen, answer_shape)
     result = "id long, n_words long, n_removed long, intervals " + INTERVALS + ", kept_text string" + "".join(f", {n} string" for n in names[2:])
-    return dealt.groupBy("chunk").cogroup(answers.repartition(partitions, "chunk").groupBy("chunk")).applyInArrow(cut, result)
+    found = dealt.groupBy("chunk").cogroup(answers.repartition(partitions, "chunk").groupBy("chunk")).applyInArrow(cut, result + ", times long")
+    return with_copies(found, width)
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

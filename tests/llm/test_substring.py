@@ -3,7 +3,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from paragraf.llm import substring
+from paragraf.llm import common, substring
 
 
 def brute(rows, width=20):
@@ -90,3 +90,34 @@ def test_edges(spark, docs):
     kept = {r.id: (r.kept_text, r.carried_0) for r in substring.remove(docs(rows), untouched=True, carry=("fp",)).collect()}
     assert kept[9] == ("  odd\tspace \n", "x") and kept[1][0] == "start" and kept[4][0] is None and kept[5][0] == ""
     assert substring.remove(docs(rows).limit(0)).count() == 0
+
+
+def flood(n=600):
+    """Half of all rows are equal, a third have null ids."""
+    rnd = random.Random(8)
+    passage = " ".join(f"w{k}" for k in range(40))
+    rows = [(None, passage)] * (n // 2) + [(5, "few words")] * 40 + [(None, f"null {k} " * 3) for k in range(30)]
+    return rows + [(k, " ".join(rnd.choice("abcdefgh") * rnd.randint(1, 5) for _ in range(60)) + (" " + passage if k % 7 == 0 else "")) for k in range(n - len(rows))]
+
+
+def test_equal_rows_are_one_in_a_chunk(spark, docs):
+    rows = flood()
+    keyed = sorted(rows, key=lambda r: (substring.LOWEST if r[0] is None else r[0], hashlib.md5(r[1].encode()).digest()))
+    want = sorted((repr(r[0]), *brute([(n, x[1]) for n, x in enumerate(keyed)])[m]) for m, r in enumerate(keyed))
+    found = substring.remove(docs(rows), chunks=16).collect()
+    assert sorted((repr(r.id), r.n_words, r.n_removed, hashlib.sha256(r.kept_text.encode()).hexdigest()) for r in found) == want
+    assert all(sum(i.stop - i.start for i in r.intervals) == r.n_removed for r in found)
+    once = common.collapsed(docs(rows).select(F.col("doc_id").alias("id"), "text")).collect()
+    assert len(once) == len(set(rows)) and sum(r.times for r in once) == len(rows)
+    sizes = {}
+    frame = spark.createDataFrame([(r.id, r.text, r.times) for r in once], "id long, text string, times long")
+    for r in substring.chunked(frame, sum(len(r.text) + substring.ROW_BYTES for r in once), 8).collect():
+        sizes[r.chunk] = sizes.get(r.chunk, 0) + 1
+    assert max(sizes.values()) <= 3 * sorted(sizes.values())[len(sizes) // 2]
+
+
+def test_collapsed(spark):
+    rows = [(1, None, "x"), (1, None, "x"), (1, "", "x"), (None, "a", None), (None, "a", None), (None, "a", "y"), (2, "b", "z")]
+    made = common.collapsed(spark.createDataFrame(rows, "id long, text string, carried_0 string"))
+    assert sorted(map(tuple, made.collect()), key=repr) == sorted(((*r, rows.count(r)) for r in set(rows)), key=repr)
+    assert common.collapsed(spark.createDataFrame([], "id long, text string")).count() == 0
