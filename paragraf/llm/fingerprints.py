@@ -15,10 +15,11 @@ The next document is that with the next smaller id, the smallest's is the larges
 md5 of the text decides, null ids count as smallest. It is found by one shuffle of texts into ranges of
 (id, md5) of about RANGE_ROWS rows, whose bounds are quantiles (beyond MAX_RANGES ranges hold more rows
 each, which a sorted window streams through, and spills); an id that many rows share is split over ranges
-by its texts. Each range also gets the last document of the range before.
+by its texts. Each range also gets the last document of the range before. Equal rows are one there, with
+their number, so that a flood of them isn't one range.
 
-Null texts count as empty and have a sketch of zeros. Repeated rows come back each and are each other's
-next. One row alone is its own next; empty tables give empty results; columns other than id and text are
+Null texts count as empty and have a sketch of zeros. Repeated rows come back each: they are each other's
+next, and the last of them has the next different row. One row alone is its own next; empty tables give empty results; columns other than id and text are
 neither read nor returned. Texts of any length are taken whole, in time that grows as n ** 1.5.
 """
 
@@ -103,8 +104,8 @@ def fingerprint(cells: str) -> Column:
 
 
 def with_next(rows: DataFrame) -> DataFrame:
-    """(id, text, own, own_cells) and those of the next document as `next`; rows: (id, text)."""
-    spark = rows.sparkSession
+    """(id, text, times, own, own_cells) and those of the next different row as `next`; rows: (id, text). Equal rows are one."""
+    spark, rows = rows.sparkSession, common.collapsed(rows)
     keyed = rows.withColumn("key", F.coalesce("id", F.lit(LOWEST)))
     count = keyed.count()
     ranges = max(1, min(MAX_RANGES, -(-count // RANGE_ROWS), count))
@@ -115,14 +116,14 @@ def with_next(rows: DataFrame) -> DataFrame:
     last = sorted(ranged.groupBy("range").agg(F.max(F.struct("key", "mark")).alias("last")).collect())  # a row a range
     goes = [(x.key, x.mark, last[(n + 1) % len(last)][0], n == len(last) - 1) for n, (_, x) in enumerate(last)]
     ghosts = spark.createDataFrame(goes, "key long, mark string, to int, wraps boolean")
-    own = ranged.select("range", F.lit(False).alias("wraps"), F.lit(False).alias("ghost"), "key", "mark", "id", "text")
-    # equal rows of one mark are alike, so one of them goes on
-    more = ranged.join(F.broadcast(ghosts), ["key", "mark"]).groupBy("key", "mark", "to", "wraps").agg(F.min("id").alias("id"), F.min("text").alias("text"))
-    more = more.select(F.col("to").alias("range"), "wraps", F.lit(True).alias("ghost"), "key", "mark", "id", "text")
+    own = ranged.select("range", F.lit(False).alias("wraps"), F.lit(False).alias("ghost"), "key", "mark", "id", "text", "times")
+    # an id that is null and the lowest one may share key and mark: either goes on, as their texts are alike
+    more = ranged.join(F.broadcast(ghosts), ["key", "mark"]).groupBy("key", "mark", "to", "wraps").agg(F.min("id").alias("id"), F.min("text").alias("text"), F.min("times").alias("times"))
+    more = more.select(F.col("to").alias("range"), "wraps", F.lit(True).alias("ghost"), "key", "mark", "id", "text", "times")
     dealt = own.unionByName(more).repartition(common.partitions(spark), "range")
     dealt = dealt.withColumn("own", F.expr(digests("text"))).withColumn("own_cells", F.expr(sketch("own")))
     before = Window.partitionBy("range").orderBy(F.desc("wraps"), F.desc("ghost"), "key", "mark")
-    return dealt.withColumn("next", F.lag(F.struct("text", "own", "own_cells")).over(before)).where("not ghost").select("id", "text", "own", "own_cells", "next")
+    return dealt.withColumn("next", F.lag(F.struct("text", "own", "own_cells")).over(before)).where("not ghost").select("id", "text", "times", "own", "own_cells", "next")
 
 
 def versions(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -132,13 +133,19 @@ def versions(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     differing digests between the two, recovered from the sketches.
     """
     rows = with_next(df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")))
+    # of equal rows, one has the next different row after it, and the others, worked out once, have themselves
+    itself = F.struct("text", "own", "own_cells")
+    either = F.when(F.col("times") > 1, F.array(F.struct(F.col("next"), F.lit(1).cast("long").alias("times")), F.struct(itself.alias("next"), (F.col("times") - 1).alias("times"))))
+    either = either.otherwise(F.array(F.struct(F.col("next"), F.lit(1).cast("long").alias("times"))))
+    rows = rows.withColumn("either", F.explode(either)).select("id", "text", "own", "own_cells", "either.next", "either.times")
     half = F.floor(F.length("text") / 2).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), F.length("text") - half), F.substring("next.text", F.lit(1), half))
     made = rows.withColumn("edited", edited)
     made = made.withColumn("new", F.expr(digests("edited"))).withColumn("new_cells", F.expr(sketch("new")))
-    made = made.select("id", F.length("text").cast("long").alias("n_chars"), "edited", "own", "own_cells", "new", "new_cells", F.col("next.own").alias("other"), F.col("next.own_cells").alias("other_cells"))
+    made = made.select("id", "times", F.length("text").cast("long").alias("n_chars"), "edited", "own", "own_cells", "new", "new_cells", F.col("next.own").alias("other"), F.col("next.own_cells").alias("other_cells"))
     made = made.withColumn("changed", F.expr(difference("own", "new", "own_cells", "new_cells"))).withColumn("apart", F.expr(difference("own", "other", "own_cells", "other_cells")))
-    return made.select("id", "n_chars", "edited", fingerprint("own_cells").alias("fingerprint"), fingerprint("new_cells").alias("edited_fingerprint"), "changed", likeness("own", "new", "changed").alias("near_edited"), likeness("own", "other", "apart").alias("near_next"))
+    made = made.select("id", "n_chars", "edited", fingerprint("own_cells").alias("fingerprint"), fingerprint("new_cells").alias("edited_fingerprint"), "changed", likeness("own", "new", "changed").alias("near_edited"), likeness("own", "other", "apart").alias("near_next"), "times")
+    return made.withColumn("copy", F.explode(F.expr("sequence(1L, times)"))).drop("times", "copy")
 
 
 def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -102,3 +102,20 @@ def test_an_id_of_many_rows_is_split_over_ranges(spark, docs, monkeypatch):
     ordered = sorted(rows, key=mark, reverse=True)
     expected = {r: ordered[(n + 1) % len(ordered)][1] for n, r in enumerate(ordered)}
     assert {(r.id, r.text): r.next for r in found} == expected
+
+
+def test_equal_rows_are_one_in_a_range(spark, docs, monkeypatch):
+    monkeypatch.setattr(fingerprints, "RANGE_ROWS", 10)
+    rows = [(None, "same. text")] * 200 + [(7, None)] * 60 + [(k, f"text {k}. {k} other") for k in range(140)]
+    found = fingerprints.versions(docs(rows))
+    held = found.select("id", "edited", "near_next").collect()
+    mark = lambda r: (fingerprints.LOWEST if r[0] is None else r[0], hashlib.md5((r[1] or "").encode()).hexdigest())
+    ordered = [(i, t or "") for i, t in sorted(rows, key=mark, reverse=True)]
+    want = []
+    for n, (i, t) in enumerate(ordered):
+        half = len(t) // 2
+        want.append((i, t[: len(t) - half] + ordered[(n + 1) % len(ordered)][1][:half]))
+    assert sorted(((r.id, r.edited) for r in held), key=repr) == sorted(want, key=repr)
+    assert sum(r.near_next == 1.0 for r in held) >= 258
+    sizes = [n for _, n in fingerprints.with_next(docs(rows).select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text"))).groupBy(F.spark_partition_id()).count().collect()]
+    assert max(sizes) <= 3 * sorted(sizes)[len(sizes) // 2]
