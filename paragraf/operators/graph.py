@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import citations as C
 from ..functions.text import collapse, filled, strip, truncate
+from ..session import stable
 
 TEXT_LIMIT = 100_000
 CITES, CITES_LAW, LAW_CITES_CASE, LAW_CITES_LAW = "CITES", "CITES_LAW", "LAW_CITES_CASE", "LAW_CITES_LAW"
@@ -56,9 +57,17 @@ def weighted(counts: DataFrame, total: int) -> DataFrame:
     return counts.join(sources, "dst").select("src", "dst", F.round(weight, 6).alias("weight"), F.col("tf").cast("long").alias("tf"))
 
 
-def citing(nodes: DataFrame, kinds: tuple[str, ...], targets: DataFrame | None = None, loops: bool = True) -> DataFrame:
-    """(src, dst, tf) of citations in the nodes' texts, before weights are made: only to known targets, without loops."""
-    counts = C.count_mentions(nodes.where("text <> ''"), "id", "text", kinds).select(F.col("id").alias("src"), F.col("citation").alias("dst"), "tf")
+def citing_once(nodes: DataFrame) -> DataFrame:
+    """(id, citation, law, tf) of all citations in the nodes' texts, read once; `law` tells provisions from decisions. Written, as every kind of edge starts from it."""
+    tagged = lambda kinds, law: F.transform(C.mentions("text", kinds), lambda x: F.struct(x.alias("citation"), F.lit(law).alias("law")))
+    found = nodes.where("text <> ''").select("id", F.explode(F.concat(tagged(C.CASE_KINDS, False), tagged(C.LAW_KINDS, True))).alias("m"))
+    return stable(found.groupBy("id", "m.citation", "m.law").agg(F.count("*").alias("tf")))
+
+
+def citing(nodes: DataFrame, kinds: tuple[str, ...], targets: DataFrame | None = None, loops: bool = True, found: DataFrame | None = None) -> DataFrame:
+    """(src, dst, tf) of citations in the nodes' texts, before weights are made: only to known targets, without loops. found: what `citing_once` gave."""
+    counts = found.where(F.col("law") == (kinds == C.LAW_KINDS)) if found is not None else C.count_mentions(nodes.where("text <> ''"), "id", "text", kinds)
+    counts = counts.select(F.col("id").alias("src"), F.col("citation").alias("dst"), "tf")
     if not loops:
         counts = counts.where("src <> dst")
     if targets is not None:
@@ -66,21 +75,21 @@ def citing(nodes: DataFrame, kinds: tuple[str, ...], targets: DataFrame | None =
     return counts
 
 
-def case_edges(nodes: DataFrame, total: int | None = None) -> DataFrame:
-    return weighted(citing(nodes, C.CASE_KINDS, nodes, loops=False), nodes.count() if total is None else total)
+def case_edges(nodes: DataFrame, total: int | None = None, found: DataFrame | None = None) -> DataFrame:
+    return weighted(citing(nodes, C.CASE_KINDS, nodes, loops=False, found=found), nodes.count() if total is None else total)
 
 
-def law_edges(nodes: DataFrame, total: int | None = None) -> tuple[DataFrame, DataFrame]:
+def law_edges(nodes: DataFrame, total: int | None = None, found: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(law nodes (id, book), edges) of laws that decisions cite, known or not."""
-    counts = citing(nodes, C.LAW_KINDS)
+    counts = citing(nodes, C.LAW_KINDS, found=found)
     cited = counts.select(F.col("dst").alias("id")).distinct().withColumn("book", C.book_of("id"))
     return cited, weighted(counts, nodes.count() if total is None else total)
 
 
-def edges_of_laws(provisions: DataFrame, case_ids: DataFrame, law_ids: DataFrame, total: int | None = None) -> tuple[DataFrame, DataFrame]:
+def edges_of_laws(provisions: DataFrame, case_ids: DataFrame, law_ids: DataFrame, total: int | None = None, found: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(law to case, law to law) edges; blank provisions cite nothing, but count in the total."""
     total = provisions.count() if total is None else total
-    return weighted(citing(provisions, C.CASE_KINDS, case_ids), total), weighted(citing(provisions, C.LAW_KINDS, law_ids, loops=False), total)
+    return weighted(citing(provisions, C.CASE_KINDS, case_ids, found=found), total), weighted(citing(provisions, C.LAW_KINDS, law_ids, loops=False, found=found), total)
 
 
 def typed(edges: DataFrame, rel_type: str) -> DataFrame:
@@ -105,16 +114,20 @@ class Graph:
 
 
 def build(considerations: DataFrame, provisions: DataFrame | None = None, text_limit: int = TEXT_LIMIT, max_rows: int | None = None) -> Graph:
-    """Nodes and all edges; only stored texts are cut to `text_limit`. Without provisions there are decisions only."""
-    case_nodes = cases(considerations, max_rows=max_rows)
-    edges = typed(case_edges(case_nodes), CITES)
+    """Nodes and all edges; only stored texts are cut to `text_limit`. Without provisions there are decisions only.
+
+    Nodes, and the citations in their texts, are worked out once and written; every kind of edge reads those.
+    """
+    case_nodes = stable(cases(considerations, max_rows=max_rows))
+    total, found = case_nodes.count(), citing_once(case_nodes)
+    edges = typed(case_edges(case_nodes.select("id"), total, found), CITES)
     none = lambda kind: F.lit(None).cast(kind)
     nodes = case_nodes.select("id", F.lit("Case").alias("label"), "volume", "section", "page", truncate("text", text_limit).alias("text"), none("string").alias("title"), none("string").alias("book"), none("string").alias("sr_number"))
     if provisions is not None:
-        known = laws(provisions, max_rows=max_rows)
-        cited, more = law_edges(case_nodes)
+        known = stable(laws(provisions, max_rows=max_rows))
+        cited, more = law_edges(case_nodes, total, found)
         every = known.select("id").union(cited.select("id")).distinct()
-        to_case, to_law = edges_of_laws(known, case_nodes.select("id"), every)
+        to_case, to_law = edges_of_laws(known, case_nodes.select("id"), every, known.count(), citing_once(known))
         edges = edges.unionByName(typed(more, CITES_LAW)).unionByName(typed(to_case, LAW_CITES_CASE)).unionByName(typed(to_law, LAW_CITES_LAW))
         law_nodes = upsert_coalesce(known.withColumn("text", truncate("text", text_limit)), cited.select("id", none("string").alias("text"), none("string").alias("title"), none("string").alias("sr_number"), "book"))
         nodes = nodes.unionByName(law_nodes.select("id", F.lit("Law").alias("label"), none("int").alias("volume"), none("string").alias("section"), none("int").alias("page"), "text", "title", "book", "sr_number"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import abbreviations as A
 from ..functions import citations as C
 from ..functions import text as T
+from ..operators import dictionary
 from ..sources import spread
 from .retrieval import ints, table
 
@@ -53,9 +54,29 @@ def q_case_id(spark, sf_dir):
     return _texts(spark, sf_dir).select("o_orderkey", C.case_id("form").alias("case_id"))
 
 
+def _dictionary(spark, sf_dir):
+    """The seed's books and some thousands more, made of parts and customers: (form, ord)."""
+    seed = spark.createDataFrame([(k, b) for k, b in enumerate(BOOKS)], "ord long, de string")
+    parts = table(spark, sf_dir, "part").select((F.col("p_partkey") + 1000).alias("ord"), F.concat(F.lit("P"), F.col("p_partkey").cast("string"), F.lit("G")).alias("de"))
+    customers = table(spark, sf_dir, "customer").select((F.col("c_custkey") + 10**12).alias("ord"), F.concat(F.lit("K"), F.col("c_custkey").cast("string"), F.lit("Vo")).alias("de"))
+    return dictionary.longest_first(seed.unionByName(parts).unionByName(customers))
+
+
+def q_dictionary(spark, sf_dir):
+    """Citations of books of a dictionary, some unknown, some within longer ones, as gold sets and as one normalised citation."""
+    book = F.concat(F.lit("P"), F.expr("o_orderkey % 3000 + 1").cast("string"), F.when(F.col("o_custkey") % 3 == 0, F.lit("g")).otherwise(F.lit("G")))
+    other = F.concat(F.lit("xK"), F.expr("o_custkey % 2500 + 1").cast("string"), F.lit("Vox"))
+    text = F.concat(F.lit("Art. "), _n("o_custkey % 50 + 1"), F.lit(" Abs. 2 "), book, F.lit(", "), other, F.lit(" und ART 7a al. 3 "), F.substring(other, F.lit(2), F.lit(20)))
+    forms = _dictionary(spark, sf_dir)
+    rows = spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")).select("o_orderkey", text.alias("text"))
+    rows = dictionary.contained(dictionary.contained(rows, "text", forms, "any", any_case=True), "text", forms, "exact")
+    c = C.normalize("text", F.col("exact"))
+    return rows.select("o_orderkey", F.array_join("exact", "|").alias("exact"), F.array_join(C.gold_citations("text", F.col("any")), "|").alias("gold"), c["canonical_id"].alias("canonical_id"), c["book"].alias("book"))
+
+
 def q_normalize(spark, sf_dir):
-    c = C.normalize("form", BOOKS)
-    return _texts(spark, sf_dir).select("o_orderkey", *[c[x].alias(x) for x in ("citation_type", "canonical_id", "volume", "section", "page", "consideration", "book", "article", "paragraph")])
+    c = C.normalize("form", F.col("books"))
+    return dictionary.contained(_texts(spark, sf_dir), "form", _dictionary(spark, sf_dir), "books").select("o_orderkey", *[c[x].alias(x) for x in ("citation_type", "canonical_id", "volume", "section", "page", "consideration", "book", "article", "paragraph")])
 
 
 def q_equivalent(spark, sf_dir):
@@ -79,7 +100,8 @@ def q_output_citations(spark, sf_dir):
 
 
 def q_gold_citations(spark, sf_dir):
-    return _texts(spark, sf_dir).select("o_orderkey", F.array_join(C.gold_citations("text", BOOKS), "|").alias("citations"))
+    rows = dictionary.contained(_texts(spark, sf_dir), "text", _dictionary(spark, sf_dir), "books", any_case=True)
+    return rows.select("o_orderkey", F.array_join(C.gold_citations("text", F.col("books")), "|").alias("citations"))
 
 
 def q_citation_field(spark, sf_dir):
@@ -127,7 +149,7 @@ def q_tokens_strip(spark, sf_dir):
     return _texts(spark, sf_dir).select("o_orderkey", T.collapse("form").alias("flat"), T.truncate("text", 40).alias("short"))
 
 
-QUERIES = {f.__name__: f for f in (q_extract_bge, q_count_citations, q_case_id, q_normalize, q_equivalent, q_parse_list, q_court_text_articles, q_free_text_citations, q_output_citations, q_gold_citations, q_citation_field, q_expand_letters, q_context_window, q_line_citations, q_abbreviations, q_extract_all, q_case_citations, q_cited_with_context, q_tokens_strip)}
+QUERIES = {f.__name__: f for f in (q_extract_bge, q_count_citations, q_case_id, q_dictionary, q_normalize, q_equivalent, q_parse_list, q_court_text_articles, q_free_text_citations, q_output_citations, q_gold_citations, q_citation_field, q_expand_letters, q_context_window, q_line_citations, q_abbreviations, q_extract_all, q_case_citations, q_cited_with_context, q_tokens_strip)}
 
 _TEXTS = r"""
 parts AS (SELECT o_orderkey, ' ' || (o_custkey % 150 + 1) || ' ' || ['I', 'II', 'III', 'IV', 'V', 'Ia'][CAST(o_orderkey % 6 + 1 AS INTEGER)] || ' ' || (o_orderkey % 900 + 1) AS c, (o_custkey % 50 + 1) AS a FROM orders),
@@ -172,6 +194,16 @@ found AS (SELECT o_orderkey, {_CASE(_FLAT('x'))} AS citation FROM (SELECT o_orde
   UNION ALL SELECT o_orderkey, {_FLAT('x')} FROM (SELECT o_orderkey, unnest({_all(C.ARTICLE)}) AS x FROM texts))
 SELECT o_orderkey, citation, count(*) AS tf FROM found GROUP BY ALL""",
     "q_case_id": f"WITH {_TEXTS} SELECT o_orderkey, nullif({_CASE('form')}, '') AS case_id FROM texts",
+    "q_dictionary": r"""
+WITH forms AS (SELECT form, row_number() OVER (ORDER BY length(form) DESC, ord) AS n FROM (SELECT * FROM (VALUES ('SchKG', 0), ('StGB', 1), ('StPO', 2), ('ZGB', 3), ('BGG', 4), ('ZPO', 5), ('OR', 6), ('BV', 7)) v(form, ord)
+  UNION ALL SELECT 'P' || p_partkey || 'G', 1000 + p_partkey FROM part UNION ALL SELECT 'K' || c_custkey || 'Vo', 1000000000000 + c_custkey FROM customer)),
+t AS (SELECT o_orderkey, 'Art. ' || (o_custkey % 50 + 1) || ' Abs. 2 P' || (o_orderkey % 3000 + 1) || CASE WHEN o_custkey % 3 = 0 THEN 'g' ELSE 'G' END AS first, 'xK' || (o_custkey % 2500 + 1) || 'Vox' AS other, 'P' || (o_orderkey % 3000 + 1) || 'G' AS p, 'K' || (o_custkey % 2500 + 1) || 'Vo' AS k, o_custkey % 3 <> 0 AS large, o_custkey % 50 + 1 AS a FROM orders),
+m AS (SELECT t.*, x.form IS NOT NULL AS has_p, y.form IS NOT NULL AS has_k, x.n AS np, y.n AS nk FROM t LEFT JOIN forms x ON x.form = p LEFT JOIN forms y ON y.form = k),
+b AS (SELECT *, list_filter(CASE WHEN coalesce(np, 0) < coalesce(nk, 0) THEN [CASE WHEN has_p AND large THEN p END, CASE WHEN has_k THEN k END] ELSE [CASE WHEN has_k THEN k END, CASE WHEN has_p AND large THEN p END] END, lambda x: x IS NOT NULL) AS exact FROM m)
+SELECT o_orderkey, array_to_string(exact, '|') AS exact,
+  array_to_string(list_filter([CASE WHEN has_p AND large THEN 'Art. ' || a || ' Abs. 2 ' || p END, CASE WHEN has_k THEN 'Art. 7a Abs. 3 ' || k END], lambda x: x IS NOT NULL), '|') AS gold,
+  CASE WHEN len(exact) > 0 THEN 'Art. ' || a || ' Abs. 2 ' || exact[1] END AS canonical_id, exact[1] AS book FROM b
+""",
     "q_normalize": f"""WITH {_TEXTS}, n AS (SELECT o_orderkey, {_normal('form')} FROM texts)
 SELECT o_orderkey, CASE WHEN v <> '' THEN 'court_decision' WHEN b IS NOT NULL THEN 'federal_law' END AS citation_type, {_ID} AS canonical_id, CAST(nullif(v, '') AS INTEGER) AS volume,
   CASE WHEN v <> '' THEN s END AS section, CAST(nullif(p, '') AS INTEGER) AS page, k AS consideration, b AS book, CASE WHEN b IS NOT NULL THEN a END AS article, CASE WHEN b IS NOT NULL THEN g END AS paragraph FROM n""",
