@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import split_csv
+
 LAWS = "citation string, text string, title string"
 COURTS = "citation string, text string"
 QUERIES = "query_id string, query string, gold_citations string"
@@ -29,15 +31,30 @@ def ordinal(df: DataFrame, name: str = "ord") -> DataFrame:
     return df.withColumn(name, F.monotonically_increasing_id())
 
 
-def read_csv(spark: SparkSession, path: str, schema: str, multiline: bool = True) -> DataFrame:
-    """A headed CSV file, by header names whatever their order; columns of the schema that the file lacks are null.
+#: Quotes of fields, and within them.
+QUOTING = {"quote": '"', "escape": '"', "multiLine": "true"}
+
+
+def headed(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:
+    """A headed CSV file as strings and `ord`, increasing in file order. All cores read it, also where quoted fields hold line breaks (`split_csv`).
 
-    Quoted fields with line breaks need `multiline`, with which Spark reads a file in one task; without it
-    large files are split. `convert` writes a corpus once as Parquet, which is split in any case.
+    Without `multiline`, a record is a line, which Spark's own reader splits.
     """
+    raw = spark.read.options(header="true", encoding="utf-8", **QUOTING | {"multiLine": str(multiline).lower()}).csv(path)
+    found = split_csv.records(spark, path) if multiline else None
+    if found is None:
+        return ordinal(raw)
+    shape = ", ".join(f"c{k} string" for k in range(len(raw.columns))) or "c0 string"
+    parsed = found.select("at", F.from_csv("record", shape, QUOTING).alias("r"))
+    return parsed.select(*(F.col(f"r.c{k}").alias(name) for k, name in enumerate(raw.columns)), F.col("at").alias("ord"))
+
+
+def read_csv(spark: SparkSession, path: str, schema: str, multiline: bool = True) -> DataFrame:
+    """A headed CSV file, by header names whatever their order; columns of the schema that the file lacks are null."""
     wanted = T._parse_datatype_string(schema)
-    raw = spark.read.option("header", True).option("multiLine", multiline).option("quote", '"').option("escape", '"').option("encoding", "utf-8").csv(path)
-    return ordinal(raw.select(*[(F.col(f"`{f.name}`") if f.name in raw.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in wanted.fields]))
+    raw = headed(spark, path, multiline)
+    known = raw.columns[:-1]
+    return raw.select(*[(F.col(f"`{f.name}`") if f.name in known else F.lit(None)).cast(f.dataType).alias(f.name) for f in wanted.fields], "ord")
 
 
 def convert(spark: SparkSession, csv_path: str, path: str, schema: str = LAWS) -> DataFrame:
@@ -67,11 +84,11 @@ def write_csv(df: DataFrame, path: str) -> None:
 
 
 def read_submission(spark: SparkSession, path: str) -> DataFrame:
-    return _filled(require_columns(spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path), "query_id", "predicted_citations"), "predicted_citations")
+    return _filled(require_columns(headed(spark, path).drop("ord"), "query_id", "predicted_citations"), "predicted_citations")
 
 
 def read_gold(spark: SparkSession, path: str) -> DataFrame:
-    return _filled(require_columns(spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path), "query_id", "gold_citations"), "gold_citations")
+    return _filled(require_columns(headed(spark, path).drop("ord"), "query_id", "gold_citations"), "gold_citations")
 
 
 def _filled(df: DataFrame, name: str) -> DataFrame:
