@@ -15,14 +15,21 @@ minimised and run over the text:
 
 So matched clauses, not words, are scored: an insult's weight goes to the output that its clause makes of
 it (plain, negated, reported, directed), a fulfilled threat counts one. A clause's outputs saturate at
-CLAUSE_CAP each and are added up, the text's score is a logistic function of the sums.
+CLAUSE_CAP each, so that a word said ten times over in a quotation stays a quotation, and are added up; the
+text's score is a logistic function of the sums. Factors are held in order: a negated insult counts
+NEGATED_SHARE of a plain one and a reported one REPORTED_SHARE of it, a directed one at least as much as a plain
+one and enough for a word of weight SURE alone to pass, and a threat alone passes. What labels teach is
+the bias, the factor of plain insults, and what direction and threats add.
 
 The insult lexicon (whole words, and starts of words, which catch inflected forms in any language) and
 the factors of the outputs are learned from labels, on at most `SAMPLE` labelled documents, chosen by a
 hash of their ids: a term must stand before many different words in toxic documents (copies of one
 document don't count anew) and hardly ever in clean ones. All such terms are kept; what the driver
-gathers is bounded by the sample's words. The seed lists below carry prior weights for languages without
-labels. Ids, languages, sources and labels of scored rows play no part in a score.
+gathers is bounded by the sample's words. Weights are log odds, less their doubt, and at most MOST_LOG_ODDS,
+two sure words' worth. The other three lists are widened by counts likewise: negations and reports are words
+that stand before insults in clean documents much more often than in toxic ones, threats those that stand
+before a target in toxic documents, and targets those that toxic documents have near insults much more often
+than other words. The seed lists below carry prior weights for languages without labels. Ids, languages, sources and labels of scored rows play no part in a score.
 
 Null and empty texts get the score of a text without matches. Texts are read whole, of any length.
 Repeated rows come back each, null ids stay null, empty tables give empty results, and without labels
@@ -52,7 +59,9 @@ SAMPLE = 20_000
 #: A term of the lexicon: the least number of different following words in toxic documents, and the least log odds.
 MIN_CONTEXTS, MIN_LOG_ODDS = 8, 2.5
 STARTS = (3, 4, 5, 6)
-CLAUSE_CAP = 12.0
+CLAUSE_CAP, MOST_LOG_ODDS = 12.0, 8.0
+#: Parts of a plain insult that a negated and a reported one count; the weight at which a directed word alone passes; by how much it does, as a logit.
+NEGATED_SHARE, REPORTED_SHARE, SURE, PASSES = 0.25, 0.1, 4.0, 0.5
 NEGATION_REACH, TARGET_REACH = 3, 4
 
 # Fixed seed lists.
@@ -65,7 +74,8 @@ REPORTED = "said says say called calls claimed claims quoted wrote reported acco
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, QUOTE, END = range(8)
 OUTPUTS = ("plain", "negated", "reported", "directed", "threat")
 TOKEN = re.compile(r"[^\W_]+|[.!?;:,\n\"“”«»]")
-PRIOR = (-5.0, (0.8, 0.4, 0.4, 1.0, 3.0))
+#: Bias, and factors of the outputs.
+PRIOR = (-5.0, (0.8, 0.2, 0.08, 1.375, 5.5))
 
 
 def text_tokens(text: str) -> list[str]:
@@ -79,10 +89,11 @@ class Grammar:
     terms: dict[str, float]
     bias: float = PRIOR[0]
     factors: tuple[float, ...] = PRIOR[1]
+    words: dict[str, int] = field(default_factory=dict)
     known: dict[str, tuple[int, float]] = field(default_factory=dict)
 
     def __getstate__(self):
-        return {"terms": self.terms, "bias": self.bias, "factors": self.factors, "known": {}}
+        return {"terms": self.terms, "bias": self.bias, "factors": self.factors, "words": self.words, "known": {}}
 
     def symbol(self, token: str) -> tuple[int, float]:
         """Symbol and weight of a token; remembered, up to a bound."""
@@ -91,7 +102,7 @@ class Grammar:
         elif (weight := self._weight(token)) > 0:
             found = (INSULT, weight)
         else:
-            found = (_FIXED.get(token, OTHER), 0.0)
+            found = (_FIXED.get(token) or self.words.get(token, OTHER), 0.0)
         if len(self.known) > 300_000:
             self.known.clear()
         self.known[token] = found
@@ -274,8 +285,9 @@ def _weights(sample: DataFrame, wanted: set[str], but: set[str]) -> dict[str, fl
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = {0: Counter(), 1: Counter()}
         for batch in batches:
-            for text, toxic in zip(common.python_strings(batch.column(0)), batch.column(1).to_pylist(), strict=True):
-                counts[toxic].update((terms_of(set(text_tokens(text)) - but) & wanted) | {""})
+            for k in range(0, batch.num_rows, 512):
+                for text, toxic in zip(common.python_strings(batch.column(0).slice(k, 512)), batch.column(1).slice(k, 512).to_pylist(), strict=True):
+                    counts[toxic].update((terms_of(set(text_tokens(text)) - but) & wanted) | {""})
         every = list(counts[0] | counts[1])
         yield pa.RecordBatch.from_arrays([pa.array(every, pa.string()), *(pa.array([counts[k][t] for t in every], pa.int64()) for k in (1, 0))], names)
 
@@ -284,19 +296,19 @@ def _weights(sample: DataFrame, wanted: set[str], but: set[str]) -> dict[str, fl
     total = next((r for r in rows if r.term == ""), None)
     if total is None or not total.toxic or not total.clean:
         return {}
-    def surely(r) -> float:
-        """Log odds, less what chance may have added to them."""
-        doubt = math.sqrt(1 / (r.toxic + 0.5) + 1 / (r.clean + 0.5))
-        return math.log((r.toxic + 0.5) / (total.toxic + 1)) - math.log((r.clean + 0.5) / (total.clean + 1)) - doubt
-
-    odds = {r.term: surely(r) for r in rows if r.term}
-    return {t: min(w, 8.0) for t, w in odds.items() if w >= MIN_LOG_ODDS}
+    odds = {r.term: _surely(r.toxic, total.toxic, r.clean, total.clean) for r in rows if r.term}
+    return {t: min(w, MOST_LOG_ODDS) for t, w in odds.items() if w >= MIN_LOG_ODDS}
 
 
 def _factors(features: np.ndarray, labels: np.ndarray, counts: np.ndarray, prior: tuple = PRIOR, strength: float = 0.3, rounds: int = 100) -> tuple[float, tuple[float, ...]]:
-    """Logistic regression of rows that stand for `counts` documents each, by damped Newton steps, drawn to the prior; factors don't go below zero."""
-    x = np.hstack([np.ones((len(features), 1)), features])
-    start = np.array([prior[0], *prior[1]])
+    """Bias and factors, held in order, by logistic regression of rows that stand for `counts` documents each.
+
+    Damped Newton steps, drawn to the prior, on what labels can tell: the bias, the plain factor (of which
+    negated and reported insults count their shares), what a target adds to it, and the threat.
+    """
+    plain, negated, reported, directed, threat = features.T
+    x = np.stack([np.ones(len(features)), plain + NEGATED_SHARE * negated + REPORTED_SHARE * reported + directed, directed, threat], axis=1)
+    start = np.array([prior[0], prior[1][0], prior[1][3] - prior[1][0], prior[1][4]])
     w, pull = start.copy(), np.full(len(start), strength)
 
     def loss(w: np.ndarray) -> float:
@@ -315,7 +327,72 @@ def _factors(features: np.ndarray, labels: np.ndarray, counts: np.ndarray, prior
         before, now = now, loss(w)
         if before - now < 1e-9 * (1 + abs(before)):
             break
-    return float(w[0]), tuple(np.maximum(w[1:], 0.0).tolist())
+    bias, plain, more, threat = w.tolist()
+    plain = max(plain, 0.0)
+    return bias, (plain, NEGATED_SHARE * plain, REPORTED_SHARE * plain, max(plain + max(more, 0.0), (PASSES - bias) / SURE), max(threat, PASSES - bias))
+
+
+def _surely(a: float, of_a: float, b: float, of_b: float) -> float:
+    """Log odds of a rate to another, less what chance may have added to them."""
+    return math.log((a + 0.5) / (of_a + 1)) - math.log((b + 0.5) / (of_b + 1)) - math.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))
+
+
+def places(grammar: Grammar, text: str) -> dict[str, set[str]]:
+    """Words of a text that are in no list, by place: near an insult, shortly before one, earlier in its clause, shortly before a target, anywhere."""
+    found: dict[str, set[str]] = {k: set() for k in ("near", "before", "far", "aims", "any")}
+    tokens = text_tokens(text)
+    symbols = [grammar.symbol(t)[0] for t in tokens]
+    start = 0
+    for end in [k for k, s in enumerate(symbols) if s == END] + [len(symbols)]:
+        free = [k for k in range(start, end) if symbols[k] == OTHER]
+        found["any"].update(tokens[k] for k in free)
+        for at in (k for k in range(start, end) if symbols[k] in (INSULT, TARGET)):
+            if symbols[at] == TARGET:
+                found["aims"].update(tokens[k] for k in free if 0 < at - k <= TARGET_REACH)
+                continue
+            found["near"].update(tokens[k] for k in free if abs(k - at) <= TARGET_REACH)
+            found["before"].update(tokens[k] for k in free if 0 < at - k <= NEGATION_REACH)
+            found["far"].update(tokens[k] for k in free if at - k > NEGATION_REACH)
+        start = end + 1
+    return found
+
+
+def _widened(sample: DataFrame, grammar: Grammar) -> dict[str, int]:
+    """Symbols of words that counts put beside the seed's threats, targets, negations and reports."""
+    import pyarrow as pa
+
+    kinds = ("near", "before", "far", "aims", "any")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            counts: Counter = Counter()
+            for k in range(0, batch.num_rows, 512):
+                for text, toxic in zip(common.python_strings(batch.column(0).slice(k, 512)), batch.column(1).slice(k, 512).to_pylist(), strict=True):
+                    made = places(grammar, text)
+                    for kind in kinds:
+                        counts.update((word, toxic, kind) for word in made[kind])
+                        counts["", toxic, kind] += bool(made[kind])
+            words = sorted({(w, t) for w, t, _ in counts})
+            yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in words], pa.string()), pa.array([t for _, t in words], pa.int32()), *(pa.array([counts[w, t, kind] for w, t in words], pa.int64()) for kind in kinds)], ["word", "toxic", *kinds])
+
+    shape = "word string, toxic int, " + ", ".join(f"`{k}` long" for k in kinds)
+    sums = sample.select("text", "toxic").mapInArrow(run, shape).groupBy("word").agg(*(F.sum(F.when(F.col("toxic") == t, F.col(f"`{k}`")).otherwise(0)).alias(f"{k}{t}") for k in kinds for t in (0, 1)))
+    rows = {r.word: r for r in sums.where(F.greatest("near1", "before0", "far0", "aims1") >= MIN_CONTEXTS).collect()}  # of the sample's words
+    every = rows.pop("", None)
+    if every is None or not every.near1:
+        return {}
+    spread = sums.where("word <> ''").agg(F.sum("near1").alias("near"), F.sum("any1").alias("all")).first()
+    found = {}
+    for word, r in rows.items():
+        if r.before0 >= MIN_CONTEXTS and _surely(r.before0, every.near0, r.before1, every.near1) >= MIN_LOG_ODDS:
+            found[word] = NEGATION
+        elif r.far0 >= MIN_CONTEXTS and _surely(r.far0, every.near0, r.far1, every.near1) >= MIN_LOG_ODDS:
+            found[word] = REPORT
+        elif r.aims1 >= MIN_CONTEXTS and _surely(r.aims1, every.aims1, r.aims0, every.aims0) >= MIN_LOG_ODDS:
+            found[word] = THREAT
+        elif r.near1 >= MIN_CONTEXTS and _surely(r.near1, r.any1, spread.near, spread.all) >= MIN_LOG_ODDS:
+            found[word] = TARGET
+    return found
 
 
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> Grammar:
@@ -327,11 +404,13 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("text is not null")
     rows = common.checkpoint(texts.join(F.broadcast(chosen), "id").select("text", "toxic"))
     grammar = Grammar(seeds() | _lexicon(rows, _candidates(rows)))
+    grammar.words = _widened(rows, grammar)
+    grammar.known = {}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            made = [grammar.outputs(x) for x in common.python_strings(batch.column(0))]
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([list(x) for x in made], pa.list_(pa.float64()))], ["toxic", "made"])
+        for part in (batch.slice(k, 512) for batch in batches for k in range(0, batch.num_rows, 512)):
+            made = [grammar.outputs(x) for x in common.python_strings(part.column(0))]
+            yield pa.RecordBatch.from_arrays([part.column(1), pa.array([list(x) for x in made], pa.list_(pa.float64()))], ["toxic", "made"])
 
     found = rows.select("text", "toxic").mapInArrow(run, "toxic int, made array<double>").groupBy("toxic", "made").count().collect()
     if not found:

@@ -130,6 +130,39 @@ def test_lexicon_learns_inflected_words_and_not_copies(spark):
     assert learned.score(text() + " zzqxaka") > 0.5 > learned.score(text())
 
 
+def test_the_grammar_of_the_table_scores_the_right_way_round(spark):
+    grammar = T.grammar_for(spark, "/root/testdata/sf0.1")
+    plain, negated, reported, directed, threat = grammar.factors
+    assert 0 < reported <= negated < plain <= directed and grammar.bias + threat > 0
+    toxic = ["You are an idiot.", "you idiot", "The idiot left.", "I will kill you.", "We will hurt them, they know.", "Those are worthless scum."]
+    clean = ["You are not an idiot.", "He said you are an idiot.", 'She wrote "you idiot" on it.', "I will never hurt you.", "kill the lights", "He is no moron.", "They never called him stupid.", "It was reported that clown is worthless."]
+    assert [t for t in toxic if grammar.score(t) < 0.5] == [] == [t for t in clean if grammar.score(t) >= 0.5]
+    assert grammar.score("You are not an idiot.") < grammar.score("The idiot left.") < grammar.score("You are an idiot.")
+    # what words alone say of the same sentences
+    alone = lambda text: grammar.bias + plain * sum(w for _, w in map(grammar.symbol, T.text_tokens(text)))
+    wrong = [t for t in toxic if alone(t) < 0] + [t for t in clean if alone(t) >= 0]
+    assert len(wrong) >= 6
+
+
+def test_lists_are_widened_by_counts(spark):
+    """Labelled sentences that the insult lexicon alone can't tell apart, with words that the seeds don't have."""
+    rnd = random.Random(3)
+    word = lambda: "".join(rnd.choice("aeiou") + rnd.choice("klmnr") for _ in range(rnd.randint(2, 4)))
+    text = lambda n=20: " ".join(word() for _ in range(n)) + "."
+    docs, insults = [], ["idiot", "scum", "moron"]
+    for k in range(900):
+        bad = rnd.choice(insults)
+        kind = k % 6
+        said = {0: f"zu {bad} {word()}", 1: f"nonn {bad}", 2: f"dixit {word()} {word()} {word()} {bad}", 3: f"zerleg {word()} du", 4: f"zerleg {word()}. {word()} du {word()}", 5: f"du {word()} zu {word()} nonn {word()}. dixit {word()} du"}[kind]
+        docs.append((k, text() + " " + said + ". " + text() + (f" {bad} {word()}. {word()} {bad}." if kind == 0 else ""), int(kind in (0, 3))))
+    frame = spark.createDataFrame(docs, "doc_id long, text string, toxic int")
+    learned = T.learn(frame.select("doc_id", "text"), frame.select("doc_id", "toxic"))
+    for each, kind in (("nonn", T.NEGATION), ("dixit", T.REPORT), ("zerleg", T.THREAT)):
+        assert learned.words.get(each) == kind, learned.words
+    assert set(learned.words) <= {"nonn", "dixit", "zerleg", "zu"}
+    assert learned.score("Zerleg ola du.") > 0.5 > max(learned.score("zerleg ola"), learned.score("ola du"))
+
+
 def test_edges(spark, docs):
     rows = [(1, None), (1, None), (None, "you idiot"), (2, ""), (3, "idiot " * 50_000), (4, "x" * 200_000)]
     empty = spark.createDataFrame([], "doc_id long, toxic int")
