@@ -5,9 +5,8 @@ included; idf is ln(N - df + 0.5) - ln(df + 0.5), and terms below zero get epsil
 idf over all terms. Hits have scores above zero. Scores are ranked by their first nine decimals, as
 sums in another order differ in the last bits; equal ones go to the larger document id.
 
-Postings lie by document: a partition holds all terms of its documents, so that scores are added up and
-the k best of each query chosen where the postings are, and only these k rows of a query and partition
-are shuffled.
+Postings lie by document: terms are counted within the row that a text is read in, so a partition holds
+all terms of its documents and no text is shuffled. `segments` keeps an index that grows, and prunes it.
 """
 
 from __future__ import annotations
@@ -18,14 +17,12 @@ from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import filled, is_blank, tokenize
+from ..functions.text import bind, filled, is_blank, tokenize
+from ..sources import spread
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 #: Query terms are broadcast only if counting shows at most this many rows.
 BROADCAST_ROWS = 1_000_000
-DOC = "__doc"
-#: Sizes that plans give for what they do not know are beyond this many bytes.
-UNKNOWN = 1 << 50
 
 
 @dataclass
@@ -63,16 +60,26 @@ class SparseIndex:
         return cls(*(spark.read.parquet(f"{path}/{n}") for n in ("postings", "terms")), **numbers.asDict())
 
 
+def counted(tokens: Column) -> Column:
+    """(term, tf) of an array of tokens, counted within the row."""
+
+    def runs(in_order: Column) -> Column:
+        n = F.size(in_order)
+        starts = F.when(n > 0, F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (F.get(in_order, i) != F.get(in_order, i - 1)))).otherwise(F.array().cast("array<int>"))
+        return bind(starts, lambda s: F.transform(s, lambda at, j: F.struct(F.get(in_order, at).alias("term"), (F.coalesce(F.get(s, j + 1), n) - at).cast("long").alias("tf"))))
+
+    return bind(F.array_sort(tokens), runs)
+
+
 def build(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokens: Column | None = None, k1: float = K1, b: float = B, epsilon: float = EPSILON) -> SparseIndex:
     """Index of a corpus; null texts have no tokens, but count. `tokens` replaces the tokenizer by a column.
 
-    Texts are tokenized once: postings are kept for the statistics and the searches that follow. Texts are
-    dealt by document before they are split into terms, so counting terms needs no further shuffle.
+    Texts are tokenized once: postings are kept for the statistics and the searches that follow. Every row is
+    a document; small inputs are dealt to all cores first.
     """
     words = tokenize(text_col) if tokens is None else tokens
-    dealt = docs.withColumn(DOC, F.col(id_col)).repartition(tasks_for(docs), DOC)
-    split = dealt.select(F.col(DOC).alias("doc_id"), words.alias("tokens"))
-    postings = split.select("doc_id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term")).groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf")).cache()
+    split = spread(docs).select(F.col(id_col).alias("doc_id"), words.alias("tokens"))
+    postings = split.select("doc_id", F.size("tokens").alias("dl"), F.explode(counted(F.col("tokens"))).alias("t")).select("doc_id", "dl", "t.term", "t.tf").cache()
     count = docs.count()
     raw = F.ln(F.lit(float(count)) - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5)
     terms = postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("n")).withColumn("raw_idf", raw)
@@ -80,15 +87,6 @@ def build(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", token
     return SparseIndex(postings, terms.drop("n"), count, (sums.n or 0) / count if count else 0.0, float(sums.mean or 0.0), k1, b, epsilon)
 
 
-def tasks_for(docs: DataFrame, bytes_each: int = 64 << 20) -> int:
-    """Partitions of postings: all cores, and no more than about `bytes_each` of the input's files in one; where the plan does not know its size, as many as shuffles have."""
-    spark = docs.sparkSession
-    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    if size >= UNKNOWN:
-        return int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return max(spark.sparkContext.defaultParallelism, -(-size // bytes_each))
-
-
 #: What says that there is no index, or one that can't be read; all else, as a refused permission, is an error.
 ABSENT = ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA", "CANNOT_READ_FILE_FOOTER", "FAILED_READ_FILE", "UNRESOLVED_COLUMN")
 

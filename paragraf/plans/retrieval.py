@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import bm25, chunk, dense, fusion
+from ..operators import chunk, dense, fusion
+from ..operators.segments import Segments
+from ..session import shared_folder
 from ..sources import spread
 
 
@@ -18,8 +22,17 @@ def rounded(df: DataFrame, *names: str, digits: int = 6) -> DataFrame:
     return df.withColumns({n: F.round(n, digits) for n in names})
 
 
-def _index(spark, sf_dir):
-    return bm25.build(table(spark, sf_dir, "documents"))
+_SAVED: dict[tuple[str, str], str] = {}
+
+
+def _index(spark, sf_dir) -> Segments:
+    """The index of the documents, saved by the first query that needs it and shared by an application's queries."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _SAVED:
+        made = Segments(spark, f"{shared_folder(spark)}/index-{uuid.uuid4().hex}")
+        made.add(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
+        _SAVED[key] = made.path
+    return Segments(spark, _SAVED[key])
 
 
 def _queries(spark, sf_dir):
@@ -33,15 +46,15 @@ def q_tokenize(spark, sf_dir):
 
 def q_bm25_stats(spark, sf_dir):
     index = _index(spark, sf_dir)
-    return rounded(index.terms.join(index.idf(), "term").select("term", "df", "idf"), "idf")
+    return rounded(index.terms().select("term", "df", "idf"), "idf")
 
 
 def q_bm25_topk(spark, sf_dir):
-    return rounded(bm25.search(_queries(spark, sf_dir), _index(spark, sf_dir), 5), "score")
+    return rounded(_index(spark, sf_dir).search(_queries(spark, sf_dir), 5), "score")
 
 
 def q_bm25_threshold(spark, sf_dir):
-    hits = bm25.search(_queries(spark, sf_dir), _index(spark, sf_dir), fusion.CANDIDATES)
+    hits = _index(spark, sf_dir).search(_queries(spark, sf_dir), fusion.CANDIDATES)
     return rounded(fusion.above(hits, 20.0, fusion.RESULTS), "score")
 
 
@@ -56,7 +69,7 @@ def q_tool_search(spark, sf_dir):
     """Whole texts with an unknown abbreviation at the end; every third one is an unknown word and one known term, whose second try, without the last word, finds nothing either."""
     index = _index(spark, sf_dir)
     asked = _queries(spark, sf_dir).select("query_id", F.concat_ws(" ", F.when(F.col("query_id") % 3 == 0, F.lit("zqzqzq")).otherwise(F.col("query")), F.lit("X"), F.lit("ZqG")).alias("query"))
-    found = fusion.tool_search(asked, lambda q, k: bm25.search(q, index, k), threshold=12.0)
+    found = fusion.tool_search(asked, index.search, threshold=12.0)
     return rounded(found.select("query_id", "rank", "doc_id", "score", "loosened"), "score")
 
 
@@ -78,7 +91,7 @@ def q_mean_pool(spark, sf_dir):
 
 
 def q_rrf(spark, sf_dir):
-    sparse = bm25.search(_queries(spark, sf_dir), _index(spark, sf_dir), fusion.candidates_for(10))
+    sparse = _index(spark, sf_dir).search(_queries(spark, sf_dir), fusion.candidates_for(10))
     vectors = table(spark, sf_dir, "embeddings")
     asked = vectors.join(_queries(spark, sf_dir).select(F.col("query_id").alias("vec_id")), "vec_id", "left_semi")
     near = dense.search(asked, vectors, fusion.candidates_for(10), "vec_id", "embedding", "vec_id", "embedding")
@@ -87,7 +100,7 @@ def q_rrf(spark, sf_dir):
 
 def q_rerank(spark, sf_dir):
     """Reranked by the share of query words that a document has, as a stand-in for a model."""
-    hits = bm25.search(_queries(spark, sf_dir), _index(spark, sf_dir), 10)
+    hits = _index(spark, sf_dir).search(_queries(spark, sf_dir), 10)
     docs = table(spark, sf_dir, "documents").select("doc_id", F.array_distinct(T.tokenize("text")).alias("d"))
     asked = _queries(spark, sf_dir).select("query_id", F.array_distinct(T.tokenize("query")).alias("q"))
     both = hits.join(docs, "doc_id").join(asked, "query_id")
@@ -97,7 +110,7 @@ def q_rerank(spark, sf_dir):
 
 def q_tool_format(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("D"), F.lpad(F.col("doc_id").cast("string"), 8, "0")).alias("citation"), "text")
-    hits = bm25.search(_queries(spark, sf_dir), _index(spark, sf_dir), 2)
+    hits = _index(spark, sf_dir).search(_queries(spark, sf_dir), 2)
     return fusion.formatted(_queries(spark, sf_dir), hits, docs).select("query_id", F.md5("output").alias("digest"), F.length("output").alias("n"))
 
 

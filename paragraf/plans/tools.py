@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import citations as C
 from ..functions import text as T
-from ..operators import bm25, chunk, corpus, dense, fusion, toolcalls
+from ..operators import chunk, corpus, dense, fusion, toolcalls
 from ..operators import graph as G
 from .graph import _CITES, _near, _written
 from .retrieval import _ITEMS, _index, _queries, _scored, ints, rounded, table
@@ -26,7 +26,7 @@ def _lengths(queries, texts):
 
 def q_model_rerank(spark, sf_dir):
     """Hits reranked by a model of two texts."""
-    hits = bm25.search(_queries(spark, sf_dir), _index(spark, sf_dir), 10).join(_docs(spark, sf_dir), "doc_id").join(_queries(spark, sf_dir), "query_id")
+    hits = _index(spark, sf_dir).search(_queries(spark, sf_dir), 10).join(_docs(spark, sf_dir), "doc_id").join(_queries(spark, sf_dir), "query_id")
     scored = fusion.model_scores(hits, _lengths)
     return rounded(fusion.rerank(scored, F.col("model_score"), 5, with_sigmoid=True).select("query_id", "rank", "doc_id", "rerank_score"), "rerank_score")
 
@@ -34,7 +34,7 @@ def q_model_rerank(spark, sf_dir):
 def q_combined_tools(spark, sf_dir):
     """Both tools' outputs under their headings; the courts have nothing for even queries."""
     asked, docs = _queries(spark, sf_dir), _docs(spark, sf_dir)
-    hits = bm25.search(asked, _index(spark, sf_dir), 2)
+    hits = _index(spark, sf_dir).search(asked, 2)
     laws = fusion.formatted(asked, hits, docs)
     courts = fusion.formatted(asked, hits.where("query_id % 2 = 1"), docs, "courts")
     return fusion.combined(laws, courts).select("query_id", F.md5("output").alias("digest"), F.length("output").alias("n"))
@@ -102,7 +102,7 @@ def _even(prompts):
 def q_tool_agent(spark, sf_dir):
     """One search a query, whose hits the judge takes if their number is even, and a final answer."""
     index = _index(spark, sf_dir)
-    tools = {"search_laws": toolcalls.search_tool(lambda q, k: bm25.search(q, index, k), _docs(spark, sf_dir))}
+    tools = {"search_laws": toolcalls.search_tool(index.search, _docs(spark, sf_dir))}
     return toolcalls.run(_queries(spark, sf_dir), _caller, tools, _even)[0]
 
 
