@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import agent as A
 from ..operators import bm25, fusion
 from ..operators import corpus as K
-from ..sources import spread
+from ..session import shared_folder
+from ..sources import shards, spread
 from .citations import _FLAT, BOOKS, _TEXTS
 from .citations import _texts as citing_texts
 from .retrieval import _scored, table
@@ -60,6 +63,15 @@ def q_pairs_pos(spark, sf_dir):
     return made.select("query_id", "citation", F.md5("prompt").alias("digest"), "chosen")
 
 
+def q_pairs_shards(spark, sf_dir):
+    """Preference pairs written as shards with a manifest, compared with it, and read back."""
+    made = K.preference_pairs(*_gold(spark, sf_dir), system="S").where("positive").select("query_id", "citation", "prompt", "chosen")
+    path = f"{shared_folder(spark)}/pairs-{uuid.uuid4().hex}"
+    shards.write_shards(made, path, 1 << 20)
+    back = shards.read_shards(spark, path, "query_id long, citation string, prompt string, chosen string")
+    return back.select("query_id", "citation", F.md5("prompt").alias("digest"), "chosen")
+
+
 def q_pairs_neg(spark, sf_dir):
     """How many queries get a negative that is not gold for them."""
     gold, queries, texts = _gold(spark, sf_dir)
@@ -154,7 +166,7 @@ def q_agent_stub(spark, sf_dir):
     return answers.select("query_id", "answer", "iterations", F.size("citations").alias("n_citations"))
 
 
-QUERIES = {f.__name__: f for f in (q_dedup_merge, q_enrich, q_coverage, q_gold_sets, q_known_citations, q_pairs_pos, q_pairs_neg, q_citation_texts, q_training_text, q_block_offsets, q_pack, q_split, q_submission, q_parse_actions, q_all_actions, q_json_args, q_short_texts, q_prompt, q_relevant, q_agent_stub)}
+QUERIES = {f.__name__: f for f in (q_dedup_merge, q_enrich, q_coverage, q_gold_sets, q_known_citations, q_pairs_pos, q_pairs_shards, q_pairs_neg, q_citation_texts, q_training_text, q_block_offsets, q_pack, q_split, q_submission, q_parse_actions, q_all_actions, q_json_args, q_short_texts, q_prompt, q_relevant, q_agent_stub)}
 
 _STRIP = lambda c: rf"regexp_replace({c}, '^\s+|\s+$', '', 'g')"
 _GOLD = """
@@ -218,3 +230,4 @@ WITH l AS (SELECT DISTINCT l_orderkey AS query_id, l_partkey FROM lineitem)
 SELECT query_id, 'P' || l_partkey AS citation FROM l WHERE l_partkey % 2 = 0
 """,
 }
+SQL["q_pairs_shards"] = SQL["q_pairs_pos"]
