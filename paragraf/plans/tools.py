@@ -10,7 +10,7 @@ from ..functions import citations as C
 from ..functions import text as T
 from ..operators import chunk, corpus, dense, fusion, toolcalls
 from ..operators import graph as G
-from .graph import _CITES, _near, _written
+from .graph import _CITES, _EXPLORE, _GRAPH, _edges, _near, _nodes, _written
 from .retrieval import _ITEMS, _index, _queries, _scored, ints, rounded, table
 
 _NAME = lambda c: F.concat(F.lit("D"), F.lpad(F.col(c).cast("string"), 8, "0"))
@@ -106,7 +106,38 @@ def q_tool_agent(spark, sf_dir):
     return toolcalls.run(_queries(spark, sf_dir), _caller, tools, _even)[0]
 
 
-QUERIES = {f.__name__: f for f in (q_model_rerank, q_combined_tools, q_excerpts, q_tool_descriptions, q_output_list, q_embedded_chunks, q_summaries, q_graph_search_fallback, q_tool_agent)}
+def _explorer(prompts):
+    """Explores the decision that a query names and searches court texts for it, then ends."""
+    out = []
+    for p in prompts:
+        name = p.split("\n")[0]
+        calls = [{"name": "explore_citation", "arguments": {"citation_id": name}}, {"name": "search_courts", "arguments": {"query": name}}]
+        out.append(json.dumps({"text": "Schluss: Art. 1 OR", "calls": []} if "Observation:" in p else {"text": None, "calls": calls}))
+    return out
+
+
+def _not_odd(prompts):
+    names = [p.split("Bestimmung:\n")[1].split("\n")[0] for p in prompts]
+    return ["nein" if n.startswith("P") and n[-1] in "13579" else "ja" for n in names]
+
+
+def q_tool_agent_graph(spark, sf_dir):
+    """An agent with the graph's tool and court texts, whose articles are candidates too; the judge refuses decisions of odd numbers."""
+    part = table(spark, sf_dir, "part")
+    size, key = F.col("p_size").cast("string"), F.col("p_partkey")
+    docs = part.select(key.alias("doc_id"), F.concat(F.lit("P"), key.cast("string")).alias("citation"), F.concat(F.lit("Nach Art. "), size, F.lit(" OR und Art. "), size, F.lit("a Abs. 2 ZGB.")).alias("text"))
+
+    def following(queries, k):
+        """The two decisions after the one that is named."""
+        hits = queries.select("query_id", F.substring("query", 2, 20).try_cast("long").alias("n"), F.explode(F.array(F.lit(1), F.lit(2))).alias("rank"))
+        return hits.select("query_id", "rank", (F.col("n") + F.col("rank")).alias("doc_id"), (50.0 - F.col("rank")).cast("double").alias("score")).where(F.col("rank") <= k)
+
+    tools = {"explore_citation": toolcalls.explore_tool(_edges(spark, sf_dir), _nodes(spark, sf_dir)), "search_courts": toolcalls.search_tool(following, docs, "courts", in_texts=True)}
+    queries = part.where("p_partkey % 20 = 0").select(key.alias("query_id"), F.concat(F.lit("P"), key.cast("string")).alias("query"))
+    return toolcalls.run(queries, _explorer, tools, _not_odd)[0]
+
+
+QUERIES = {f.__name__: f for f in (q_model_rerank, q_combined_tools, q_excerpts, q_tool_descriptions, q_output_list, q_embedded_chunks, q_summaries, q_graph_search_fallback, q_tool_agent, q_tool_agent_graph)}
 
 _LINES = """, lines AS (
   SELECT query_id, rank, printf('[%.3f] D%08d', score, d.doc_id) || chr(10) || coalesce(t.text, '') AS line FROM hits h JOIN docs d ON d.doc_id = h.doc_id JOIN documents t ON t.doc_id = h.doc_id WHERE rank <= 2),
@@ -158,3 +189,9 @@ SELECT query_id, rank, {_BGE('c')} AS case_id, 1 AS distance, round(w, 6) AS sco
     "q_tool_agent": _scored(_ITEMS)
     + "SELECT query_id, 'D' || lpad(CAST(doc_id AS VARCHAR), 8, '0') AS citation FROM hits WHERE rank <= 10 AND doc_id % 2 = 0 AND score >= 0.3 UNION SELECT item_id, 'Art. 1 OR' FROM benchmark",
 }
+SQL["q_tool_agent_graph"] = f"""WITH {_GRAPH},
+seeds AS (SELECT 'P' || p_partkey AS seed FROM part WHERE p_partkey % 20 = 0), {_EXPLORE.format(k=5)},
+hits AS (SELECT a.p_partkey AS query_id, b.p_partkey AS k, b.p_size AS z FROM part a JOIN part b ON b.p_partkey IN (a.p_partkey + 1, a.p_partkey + 2) WHERE a.p_partkey % 20 = 0),
+every AS (SELECT CAST(substr(seed, 2) AS BIGINT) AS query_id, id AS citation FROM shown UNION SELECT query_id, 'P' || k FROM hits
+  UNION SELECT query_id, 'Art. ' || z || ' OR' FROM hits UNION SELECT query_id, 'Art. ' || z || 'a Abs. 2 ZGB' FROM hits UNION SELECT p_partkey, 'Art. 1 OR' FROM part WHERE p_partkey % 20 = 0)
+SELECT * FROM every WHERE NOT (citation LIKE 'P%' AND right(citation, 1) IN ('1', '3', '5', '7', '9'))"""
