@@ -87,27 +87,26 @@ def judge(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col:
     tails = lambda n: F.array_join(F.slice(split, (count - n + 1).cast("int"), n.cast("int")), ".")
     candidates = F.transform(fitting, lambda x: F.struct(tails(x["labels"]).alias("host"), F.substring(F.col("path"), F.lit(1), x["length"].cast("int")).alias("path")))
     key = lambda c: F.concat(c["host"], c["path"])
-    # a row's number lives within one stage only: a lost task counts its rows again, and alike
     if blocks <= constant_blocks:
         held = {r.block: r.word for r in filled.collect()}
         words = numbers(held.get(k, 0) for k in range(blocks))
         passed = lambda c: F.get(words, _block(key(c), blocks)).bitwiseAND(_mask(key(c))) == _mask(key(c))
         met = base.withColumn("hits", F.filter(candidates, passed))
     else:
-        each = base.withColumn("hits", candidates).withColumn("row", F.monotonically_increasing_id())
-        tries = each.select("row", F.explode("hits").alias("c")).withColumn("block", _block(key(F.col("c")), blocks))
+        # by url, not by a number of the row, which might be another if a lost task ran again
+        tries = base.select("host", "path").distinct().withColumn("c", F.explode(candidates)).withColumn("block", _block(key(F.col("c")), blocks))
         table = F.broadcast(filled) if filled.count() <= BROADCAST_BLOCKS else filled
         good = tries.join(table, "block").where(F.col("word").bitwiseAND(_mask(key(F.col("c")))) == _mask(key(F.col("c"))))
-        good = good.groupBy("row").agg(F.collect_list("c").alias("good"))
-        met = each.join(good, "row", "left").select("id", "host", "path", F.coalesce("good", F.filter("hits", lambda _: F.lit(False))).alias("hits"))
+        good = good.groupBy("host", "path").agg(F.collect_list("c").alias("good"))
+        met = base.withColumn("hits", candidates).join(good, ["host", "path"], "left").select("id", "host", "path", F.coalesce("good", F.filter("hits", lambda _: F.lit(False))).alias("hits"))
     none, verdict = F.lit(None).cast("string"), F.lit(default)
     plain = met.where(F.size("hits") == 0).select("id", "host", "path", none.alias("rule"), verdict.alias("verdict"))
-    some = met.withColumn("row", F.monotonically_increasing_id()).where(F.size("hits") > 0)
-    pairs = some.select("row", "id", "host", "path", F.explode("hits").alias("hit")).select("row", "id", "host", "path", F.col("hit.host").alias("rule_host"), F.col("hit.path").alias("rule_path"))
+    some = met.where(F.size("hits") > 0).groupBy("id", "host", "path").agg(F.count("*").alias("times"), F.min("hits").alias("hits"))  # equal rows as one
+    pairs = some.select("times", "id", "host", "path", F.explode("hits").alias("hit")).select("times", "id", "host", "path", F.col("hit.host").alias("rule_host"), F.col("hit.path").alias("rule_path"))
     exact = F.broadcast(known) if counted.n <= broadcast_rules else known
     found = pairs.join(exact, ["rule_host", "rule_path"], "left")
     rank = F.when(F.col("rule").isNotNull(), F.struct(F.length("rule").alias("n"), F.length("rule_host").alias("m"), F.col("rule"), F.col("blocks")))
-    best = found.groupBy("row", "id", "host", "path").agg(F.max(rank).alias("best"))
+    best = found.groupBy("times", "id", "host", "path").agg(F.max(rank).alias("best")).withColumn("copy", F.explode(F.expr("sequence(1L, times)")))
     decided = F.when(F.col("best").isNull(), verdict).when(F.col("best.blocks"), F.lit("block")).otherwise(F.lit("allow"))
     return plain.unionByName(best.select("id", "host", "path", F.col("best.rule").alias("rule"), decided.alias("verdict")))
 
