@@ -18,7 +18,7 @@ from paragraf import plans  # noqa: E402
 from paragraf.session import session  # noqa: E402
 
 HEADLINE = (
-    "q_bm25_topk", "q_bm25_threshold", "q_bm25_stats", "q_tool_search", "q_rrf", "q_rerank", "q_dense_topk", "q_chunks", "q_case_edges", "q_law_edges", "q_neighbors", "q_top_in_out", "q_cocitation", "q_graph_stats",
+    "q_bm25_topk", "q_bm25_threshold", "q_bm25_stats", "q_tool_search", "q_rrf", "q_rerank", "q_dense_topk", "q_chunks", "q_case_edges", "q_law_edges", "q_neighbors", "q_top_in_out", "q_cocitation", "q_graph_stats", "q_graph_edges",
     "q_graph_search", "q_upsert_coalesce", "q_macro", "q_micro", "q_map", "q_ndcg", "q_competition", "q_extract_all", "q_count_citations", "q_normalize", "q_gold_citations", "q_dedup_merge", "q_enrich", "q_pairs_pos", "q_pack",
 )
 

@@ -133,7 +133,7 @@ class Segments:
 
     def add(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokens: Column | None = None) -> str:
         """A segment of these documents; its name. Texts are read once and not shuffled."""
-        segment = uuid.uuid4().hex
+        segment = f"s{uuid.uuid4().hex}"
         words = tokenize(text_col) if tokens is None else tokens
         rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), words.alias("tokens"))
         made = self._write(segment, rows.select("doc_id", F.size("tokens").alias("dl"), counted(F.col("tokens")).alias("terms")))
@@ -153,7 +153,7 @@ class Segments:
         if not some:
             return None
         chosen, gone = F.col("segment").isin(some), self.deleted()
-        name = uuid.uuid4().hex
+        name = f"s{uuid.uuid4().hex}"
         made = self._write(name, self.docs().where(chosen).join(gone, ["segment", "doc_id"], "left_anti").select("doc_id", "dl", "terms"))
         self._commit({s: x for s, x in held.items() if s not in some} | {name: made}, stable(gone.where(~chosen)))
         return name
