@@ -25,6 +25,21 @@ def test_summaries(spark):
     assert got == {"a": "known", "b": "YYYY"}
 
 
+def test_summaries_are_upper_cased_as_in_sql(spark, tmp_path):
+    import duckdb
+
+    from paragraf import plans
+
+    texts = ["straße und mehr", "ŉǰﬁ éàü", None, "x" * 4000, "İıſ", "", "más"]
+    spark.createDataFrame([(k, t) for k, t in enumerate(texts * 3)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert "upper(" in plans.oracle_sql()["q_summaries"]
+    got = sorted((r.citation, r.summary) for r in plans.queries()["q_summaries"](spark, str(tmp_path)).collect())
+    assert got == sorted(con.sql(plans.oracle_sql()["q_summaries"]).fetchall())
+    assert any(s.startswith("XXXXXXXXXX") for _, s in got)
+
+
 def test_blocks(spark):
     rows = spark.createDataFrame([(1, ["a", "b"]), (2, []), (3, list("cdefg"))], "doc_id int, tokens array<string>")
     got = {r.block: r.tokens for r in corpus.token_blocks(rows, 4, "$").collect()}
