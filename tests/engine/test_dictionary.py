@@ -50,3 +50,21 @@ def test_plans_hold_no_forms(spark):
         assert found.first().books == ["X17Y"]
         plans.append(found.select(citations.normalize("text", F.col("books")))._jdf.queryExecution().optimizedPlan().toString())
     assert re.sub(r"\d+", "", plans[0]) == re.sub(r"\d+", "", plans[1])
+
+
+def test_forms_of_one_start_are_not_tried_one_by_one(spark, monkeypatch):
+    """A dictionary that isn't broadcast, whose forms all begin alike: a text meets those it holds, and nothing is broadcast by estimate."""
+    forms = [f"PX{k}G" for k in range(3000)]
+    rows = spark.range(400).selectExpr("id", "concat('so PX', id, 'G und PX', id + 7, 'g') as text")
+    monkeypatch.setattr(dictionary, "BROADCAST_FORMS", 100)
+    found = dictionary.contained(rows, "text", made(spark, forms), "found", any_case=True)
+    assert {r.id: r.found for r in found.collect()} == {k: sorted([f"PX{k}G", f"PX{k + 7}G"], key=lambda f: (-len(f), int(f[2:-1]))) for k in range(400)}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.split("Initial Plan")[-1].count("BroadcastHashJoin") == 1  # with the ten starts alone
+
+
+def test_long_texts_are_searched_in_pieces(spark):
+    size = dictionary.PIECE
+    texts = ["x" * (size - at) + "ABCDE" + "y" * size * 2 + "Q" for at in range(7)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    assert all(r.found == ["ABCDE", "Q"] for r in dictionary.contained(rows, "text", made(spark, ["ABCDE", "Q", "ABCDF"]), "found").collect())
