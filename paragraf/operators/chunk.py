@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.text import as_column
+from ..functions.text import as_column, bind
 
 # Separators from coarse to fine, and the token limit.
 SEPARATORS = ("\n\n", "\n", ". ", " ")
@@ -90,6 +90,10 @@ def word_windows(c: Column | str, limit: int, overlap: int = 0) -> Column:
     """The windows of a text's blank-separated words as native columns."""
     words = F.filter(F.split(F.coalesce(as_column(c), F.lit("")), r"(?U)\s+"), lambda x: x != "")
     step = max(1, limit - overlap)
-    # the last window is the first that reaches the end
-    count = F.when(F.size(words) <= limit, F.lit(1)).otherwise(F.ceil((F.size(words) - limit) / F.lit(step)) + 1).cast("int")
-    return F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.array_join(F.slice(words, i * step + 1, F.lit(limit)), " "))
+
+    def cut(words: Column) -> Column:
+        # the last window is the first that reaches the end
+        count = F.when(F.size(words) <= limit, F.lit(1)).otherwise(F.ceil((F.size(words) - limit) / F.lit(step)) + 1).cast("int")
+        return F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.array_join(F.slice(words, i * step + 1, F.lit(limit)), " "))
+
+    return bind(words, cut)  # else every window would split the text anew
