@@ -18,6 +18,9 @@ from ..functions.text import as_column
 
 #: Queries held by a task at a time; a larger set is gone through block by block.
 QUERIES_PER_BLOCK = 16_384
+#: Queries and documents that are multiplied at once, which bounds a task's memory whatever the numbers of both.
+TILE_QUERIES, TILE_DOCS = 512, 2048
+NONE = np.iinfo(np.int64).max
 
 
 def norm(vec: Column | str) -> Column:
@@ -46,6 +49,23 @@ def dimension(df: DataFrame, vec_col: str = "vec") -> int:
     return sizes[0]
 
 
+def merge_best(top_s: np.ndarray, top_d: np.ndarray, scores: np.ndarray, ids: np.ndarray) -> None:
+    """Put the documents of a tile among the best of each query, in place: largest score first, ties to the smaller id; free places hold no number and NONE."""
+    k = top_s.shape[1]
+    least = top_s[:, -1]
+    if k <= scores.shape[1] and np.isnan(least).any():
+        least = np.fmax(least, np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k])
+    row, at = np.nonzero(~(scores < least[:, None]))  # what has no number stays, and comes last
+    if not len(row):
+        return
+    rows = np.concatenate((np.repeat(np.arange(len(top_s)), k), row))
+    every_s, every_d = np.concatenate((top_s.ravel(), scores[row, at])), np.concatenate((top_d.ravel(), ids[at]))
+    order = np.lexsort((every_d, -every_s, rows))
+    starts = np.searchsorted(rows[order], np.arange(len(top_s)))
+    best = order[starts[:, None] + np.arange(k)]
+    top_s[:], top_d[:] = every_s[best], every_d[best]
+
+
 def search(queries: DataFrame, corpus: DataFrame, k: int = 10, query_id: str = "query_id", query_vec: str = "vec", doc_id: str = "doc_id", doc_vec: str = "vec", block: int = QUERIES_PER_BLOCK) -> DataFrame:
     """(query_id, rank, doc_id, score): the k largest inner products, negative ones too; ties to the smaller id."""
     import pyarrow as pa
@@ -63,17 +83,16 @@ def search(queries: DataFrame, corpus: DataFrame, k: int = 10, query_id: str = "
         ids, matrix = np.array([r.query_id for r in rows]), np.array([r.vec for r in rows])
 
         def best(batches: Iterator[pa.RecordBatch], ids: np.ndarray = ids, matrix: np.ndarray = matrix) -> Iterator[pa.RecordBatch]:
-            top_s, top_d = np.empty((len(ids), 0)), np.empty((len(ids), 0), np.int64)
+            top_s, top_d = np.full((len(ids), k), np.nan), np.full((len(ids), k), NONE)
             for batch in batches:
-                for at in range(0, batch.num_rows, 2048):
-                    part = batch.slice(at, 2048)
+                for at in range(0, batch.num_rows, TILE_DOCS):
+                    part = batch.slice(at, TILE_DOCS)
                     x = part.column(1).flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1)
-                    d = np.broadcast_to(part.column(0).to_numpy(), (len(ids), part.num_rows))
-                    top_s, top_d = np.hstack([top_s, matrix @ x.T]), np.hstack([top_d, d])
-                    if top_s.shape[1] > k:
-                        order = np.lexsort((top_d, -top_s), axis=1)[:, :k]
-                        top_s, top_d = np.take_along_axis(top_s, order, 1), np.take_along_axis(top_d, order, 1)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, top_s.shape[1])), pa.array(top_d.ravel()), pa.array(top_s.ravel())], ["query_id", "doc_id", "score"])
+                    d = part.column(0).to_numpy()
+                    for q in range(0, len(ids), TILE_QUERIES):
+                        merge_best(top_s[q : q + TILE_QUERIES], top_d[q : q + TILE_QUERIES], matrix[q : q + TILE_QUERIES] @ x.T, d)
+            row, place = np.nonzero(top_d != NONE)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(top_d[row, place]), pa.array(top_s[row, place])], ["query_id", "doc_id", "score"])
 
         found.append(docs.mapInArrow(best, "query_id long, doc_id long, score double"))
     if not found:
