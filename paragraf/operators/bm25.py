@@ -18,11 +18,14 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import bind, filled, is_blank, tokenize
+from ..session import stable
 from ..sources import spread
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 #: Query terms are broadcast only if counting shows at most this many rows.
 BROADCAST_ROWS = 1_000_000
+#: Scores that a task adds up.
+TASK_SCORES = 500_000
 
 
 @dataclass
@@ -108,9 +111,15 @@ def scores(queries: DataFrame, index: SparseIndex, id_col: str = "query_id", tex
     words = tokenize(text_col) if tokens is None else tokens
     asked = queries.select(F.col(id_col).alias("query_id"), F.explode(words).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
     asked = asked.join(index.idf(), "term")
-    if asked.count() <= BROADCAST_ROWS:
-        asked = F.broadcast(asked)
-    met = index.postings.join(asked, "term")
+    asked = stable(asked)
+    asked_rows = asked.count()
+    size = asked.select("query_id").distinct().count() * index.count
+    postings = index.postings
+    if (parts := -(-size // TASK_SCORES)) > int(postings.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+        # a task holds all postings of its documents that are asked for, and adds up no other document's scores
+        terms = asked.select("term").distinct()
+        postings = postings.join(F.broadcast(terms) if asked_rows <= BROADCAST_ROWS else terms, "term", "left_semi").repartition(parts, "doc_id")
+    met = postings.join(F.broadcast(asked) if asked_rows <= BROADCAST_ROWS else asked, "term")
     part = F.col("idf") * F.col("tf") * (index.k1 + 1) / (F.col("tf") + F.lit(index.k1) * (F.lit(1 - index.b) + F.lit(index.b) * F.col("dl") / F.lit(index.average_length)))
     return met.groupBy("query_id", "doc_id").agg(F.sum(F.col("times") * part).alias("score"))
 
