@@ -87,3 +87,10 @@ def test_tools_that_nobody_calls_are_not_asked(spark):
     queries = spark.createDataFrame([(1, "a"), (2, "b")], "query_id long, query string")
     answers, _ = agent.run(queries, model, {"search": tool, "other": tool}, "{query}\n")
     assert {r.answer for r in answers.collect()} == {"done"} and len(asked) == 1
+
+
+def test_pipeline_leaves_no_shuffle_files_to_the_collector(spark):
+    import corpus_pipeline as c
+
+    c._ready(spark)
+    assert spark.conf.get(c.CLEANUP_SETTING) == "true"
